@@ -91,8 +91,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     overall = float(total.s / total.n) if total.n else 0.5
     k = _shrinkage(hosts, F.lit(overall))
-    hosts = hosts.select("_host", ((F.col("s") + k * overall) / (F.col("n") + k)).alias("_host_mean"))
-    inner = paths.join(hosts, F.col("_host").eqNullSafe(hosts["_host"]) if False else paths["_host"].eqNullSafe(hosts["_host"])).select(paths["_host"], "_path", "s", "n", "_host_mean")
+    hosts = hosts.select(F.col("_host").alias("_of"), ((F.col("s") + k * overall) / (F.col("n") + k)).alias("_host_mean"))
+    inner = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).drop("_of")
     k = _shrinkage(inner, F.col("_host_mean"))
     sites = inner.select(F.col("_host").alias("_h"), F.col("_path").alias("_q"), ((F.col("s") + k * F.col("_host_mean")) / (F.col("n") + k)).alias("_site"))
     sites = F.broadcast(sites) if paths.count() <= BROADCAST_SITES else sites
