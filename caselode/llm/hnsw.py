@@ -189,7 +189,7 @@ def build_index(vectors: DataFrame, shards: int, k: int, m: int = 16, ef_build:
     nodes = collapsed(vectors.select("id", "vec").filter(finite("vec", False)), "id", "vec", k + 1)
     placed = nodes.withColumn("shard", F.concat_ws("-", F.size("vec"), F.pmod(F.xxhash64("vec"), F.lit(shards))))
 
-    def run(key, batch: pa.Table) -> pa.Table:
+    def run(key, batch):  # without type hints: Spark would take them for its own
         flat = batch.column("vec").combine_chunks()
         n = len(flat)
         vectors64 = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)

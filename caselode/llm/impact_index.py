@@ -83,7 +83,7 @@ def build_index(vectors: DataFrame, shards: int, k: int) -> DataFrame:
     names = [c.strip().split()[0] for c in INDEX.split(", ")]
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())), *[pa.binary()] * 5)
 
-    def run(key, batch: pa.Table) -> pa.Table:
+    def run(key, batch):  # without type hints: Spark would take them for its own
         flat = batch.column("vec").combine_chunks()
         v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), -1)
         row = {"shard": key[0].as_py(), "dim": v.shape[1], "nodes": len(v), "vectors": v.tobytes(), "ids": batch.column("ids").to_pylist()} | {c: a.tobytes() for c, a in build_segments(v).items()}

@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from caselode.llm.chat import op7_chat_formatting
 from caselode.llm.hnsw import op9_nearest_neighbours
 from caselode.llm.impact_index import op10_exact_top_k
+from caselode.llm.mixing import op8_mixing
 from caselode.llm.ngram_join import op5_ngram_jaccard_join
 from caselode.llm.packing import op1_best_fit_packing
+from caselode.llm.pii import op3_pii_spans
 from caselode.llm.quality import op6_quality_classifier
 from caselode.llm.toxicity import op2_toxicity
 from caselode.llm.warc import op4_warc_writer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_toxicity, op4_warc_writer, op5_ngram_jaccard_join, op6_quality_classifier, op7_chat_formatting, op9_nearest_neighbours, op10_exact_top_k]
+    found = [op1_best_fit_packing, op2_toxicity, op3_pii_spans, op4_warc_writer, op5_ngram_jaccard_join, op6_quality_classifier, op7_chat_formatting, op8_mixing, op9_nearest_neighbours, op10_exact_top_k]
     return {f.__name__: f for f in found}
 
 
