@@ -1,6 +1,8 @@
-"""Registered queries and their oracles, by name."""
+"""Every registered query of the library proper; importing it registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from caselode.plans import cases, evaluation, retrieval  # noqa: F401
+from caselode.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
