@@ -65,21 +65,23 @@ def record_bytes(key: object, uri: str, payload: bytes, refers: object | None) -
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_revisits(records: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Add ``refers_to``: the smallest key with the same payload, null for responses.
+def revisits(records: DataFrame, min_payload: int = 0) -> DataFrame:
+    """(record_key, payload_sha, refers_to) of the records that repeat the payload of a smaller key.
 
     Only keys and digests meet on a digest; counts are combined before the shuffle and a hot digest's rows are split by
     the adaptive skew join.
     """
-    keyed = records.withColumn("payload_sha", F.sha2("payload", 256))
-    meta = keyed.filter(F.octet_length("payload") >= min_payload).select("record_key", "payload_sha")
+    meta = records.filter(F.octet_length("payload") >= min_payload).select("record_key", F.sha1("payload").alias("payload_sha"))
     first = meta.groupBy("payload_sha").agg(F.min("record_key").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = meta.join(first, "payload_sha").filter("record_key > refers_to or (record_key is null and refers_to is not null)").distinct()
-    return keyed.alias("k").join(again.alias("a"), F.col("k.record_key").eqNullSafe(F.col("a.record_key")) & (F.col("k.payload_sha") == F.col("a.payload_sha")), "left").select("k.record_key", "k.target_uri", "k.payload", "a.refers_to")
+    return meta.join(first, "payload_sha").filter("record_key > refers_to or (record_key is null and refers_to is not null)").distinct()
 
 
-def write_warc(records: DataFrame, out: str, shards: int, roll_bytes: int = 1 << 30, level: int = 1) -> DataFrame:
-    """Write (record_key, target_uri, payload, refers_to) under ``out``; returns the manifest."""
+def write_warc(records: DataFrame, again: DataFrame, out: str, shards: int, roll_bytes: int = 1 << 30, level: int = 1) -> DataFrame:
+    """Write (record_key, target_uri, payload) under ``out``; returns the manifest.
+
+    ``again`` (see ``revisits``) travels in the same range sort, each of its rows just before the records of its key, so
+    that payloads are shuffled once.
+    """
     spark = records.sparkSession
     files, at = _filesystem(out)
     files.create_dir(f"{at}/_temporary", recursive=True)
@@ -88,6 +90,7 @@ def write_warc(records: DataFrame, out: str, shards: int, roll_bytes: int = 1 <<
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, root = _filesystem(out)
         made, stream, sha, size, count = [], None, None, 0, 0
+        now, refer = None, {}
 
         def close() -> None:
             stream.close()
@@ -95,8 +98,15 @@ def write_warc(records: DataFrame, out: str, shards: int, roll_bytes: int = 1 <<
             made.append((shard, part, f"_temporary/{shard:06d}-{part:04d}-{attempt}.warc.gz", f"{shard:06d}-{part:04d}.warc.gz", count, size, sha.hexdigest()))
 
         for batch in batches:
-            for key, uri, payload, refers in zip(*(batch.column(i) for i in range(4)), strict=True):
-                packed = gzip.compress(record_bytes(key.as_py(), uri.as_py() or "about:blank", payload.as_py() or b"", refers.as_py()), level, mtime=0)
+            for key, uri, payload, digest, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
+                key, payload = key.as_py(), payload.as_py() or b""
+                if key != now:
+                    now, refer = key, {}
+                if digest.is_valid:
+                    refer[digest.as_py()] = refers.as_py()
+                    continue
+                original = refer.get(hashlib.sha1(payload).hexdigest()) if refer else None
+                packed = gzip.compress(record_bytes(key, uri.as_py() or "about:blank", payload, original), level, mtime=0)
                 if stream is not None and size + len(packed) > roll_bytes:
                     close()
                     stream = None
@@ -111,8 +121,10 @@ def write_warc(records: DataFrame, out: str, shards: int, roll_bytes: int = 1 <<
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    sorted_ = records.select("record_key", F.regexp_replace("target_uri", r"[\r\n]", "").alias("target_uri"), "payload", "refers_to")
-    sorted_ = sorted_.repartitionByRange(shards, F.col("record_key").asc_nulls_last()).sortWithinPartitions(F.col("record_key").asc_nulls_last(), "target_uri")
+    rows = records.select("record_key", F.regexp_replace("target_uri", r"[\r\n]", "").alias("target_uri"), "payload", F.lit(None).cast("string").alias("payload_sha"), F.lit(None).cast("long").alias("refers_to"))
+    rows = rows.unionByName(again.select("record_key", "payload_sha", "refers_to"), allowMissingColumns=True)
+    key = F.col("record_key").asc_nulls_last()
+    sorted_ = rows.repartitionByRange(shards, key).sortWithinPartitions(key, F.col("payload_sha").asc_nulls_last(), "target_uri")
     manifest = written(sorted_.mapInArrow(write, MANIFEST), "warc-manifest")
     lines = []
     for row in manifest.orderBy("shard", "part").toLocalIterator():  # one row per file
@@ -181,6 +193,6 @@ def op4_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_key"), F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     out = new_path(spark, "warc")
     shards = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    manifest = write_warc(with_revisits(pages), out, shards, roll_bytes=256 << 20)
+    manifest = write_warc(pages, revisits(pages), out, shards, roll_bytes=256 << 20)
     back = read_warc(spark, manifest, out)
     return back.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
