@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from caselode.llm.chat import op7_chat_formatting
+from caselode.llm.common import ship
 from caselode.llm.hnsw import op9_nearest_neighbours
 from caselode.llm.impact_index import op10_exact_top_k
 from caselode.llm.mixing import op8_mixing
@@ -18,9 +20,20 @@ from caselode.llm.toxicity import op2_toxicity
 from caselode.llm.warc import op4_warc_writer
 
 
+def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the package has been sent to the executors."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_best_fit_packing, op2_toxicity, op3_pii_spans, op4_warc_writer, op5_ngram_jaccard_join, op6_quality_classifier, op7_chat_formatting, op8_mixing, op9_nearest_neighbours, op10_exact_top_k]
-    return {f.__name__: f for f in found}
+    return {f.__name__: shipped(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
