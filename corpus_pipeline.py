@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.llm import mixing, ngram_join, packing, pii, quality
-from caselode.llm.common import table, written
+from caselode.llm.common import ship, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Cluster SQL cannot express the kernels, trees and seeded orders of these stages; the tests check them by brute force.
@@ -20,6 +20,7 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    ship(spark)
     return quality.quality_scores(docs, table(spark, sf_dir, "labels")).filter("keep").select(*COLUMNS)
 
 
@@ -51,6 +52,7 @@ STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
