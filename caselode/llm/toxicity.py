@@ -9,8 +9,9 @@ Learning: labels are on texts, so the labelled sentences' windows are weighed by
 (likelihood ratio); those past ``WITNESS`` are the positive examples, windows of clean texts the negative ones.  A
 squared-hinge support vector machine is trained in the space that the landmarks span.  As the kernel's features can be
 listed, the machine folds into one weight per letter triple, so a window costs one table lookup per triple and the
-score is that of the kernel machine itself.  A logistic curve on a text's largest and second-largest window, its
-number of insulting windows and its length gives the score; it is fitted on the same learning texts.
+score is that of the kernel machine itself.  Clean windows that a first machine scores highest join the examples of the
+second.  A logistic curve on a text's two largest windows and the sum of its insulting ones gives the score; it is
+fitted on the same learning texts.
 
 Fitting reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled texts, picked by the hash of their id, and at most
 ``MAX_WINDOWS`` windows of each kind; scoring covers every text.
@@ -35,9 +36,11 @@ from caselode.llm.common import table, written
 SYMBOLS, SPAN, DECAY = 41, 6, 0.6
 WINDOW = 24
 MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS, LANDMARKS = 4000, 12_000, 4000, 256
-WITNESS = 13.0
+WITNESS, PURITY = 14.0, 0.9
 CACHE_TOKENS = 1_000_000
 NOTHING = -2.0
+#: Windows past this margin count as insulting outright.
+SURE = 0.8
 APART = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S){2,}(?=\s|$)")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -151,16 +154,14 @@ class TokenScores(dict):
 _known: dict[str, TokenScores] = {}
 
 
-def text_features(scores: np.ndarray) -> tuple[float, float, float, float]:
-    """Largest and second-largest window, softened number of insulting windows, length."""
-    if not len(scores):
-        return NOTHING, NOTHING, 0.0, 0.0
-    top = np.partition(scores, -2)[-2:] if len(scores) > 1 else np.array([NOTHING, scores[0]])
-    return float(top[1]), float(top[0]), float(np.log1p(np.maximum(scores, 0).sum())), float(np.log1p(len(scores)))
+def text_features(scores: np.ndarray) -> tuple[float, ...]:
+    """Of a text's different tokens: largest and second-largest window, softened sum and number of insulting ones."""
+    top = np.sort(np.clip(np.partition(np.r_[scores, NOTHING, NOTHING], -2)[-2:], -1, 1))
+    return float(top[1]), float(top[0]), float(np.log1p(np.maximum(scores, 0).sum())), float(np.log1p((scores > SURE).sum()))
 
 
 def score_features(docs: DataFrame, weight: np.ndarray, bias: float) -> DataFrame:
-    """(doc_id, f0..f3) of every text."""
+    """(doc_id, f0 to f3) of every text."""
     shared, name = docs.sparkSession.sparkContext.broadcast((weight, bias)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ def score_features(docs: DataFrame, weight: np.ndarray, bias: float) -> DataFram
         for batch in batches:
             features = []
             for lo in range(0, batch.num_rows, 100):
-                texts = [tokens_of(t.as_py()) for t in batch.column(1).slice(lo, 100)]
+                texts = [list(dict.fromkeys(tokens_of(t.as_py()))) for t in batch.column(1).slice(lo, 100)]
                 known.learn(texts)
                 features += [text_features(np.fromiter(map(known.__getitem__, t), np.float32, len(t))) for t in texts]
             cols = np.array(features, np.float64).reshape(-1, 4)
@@ -209,6 +210,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
+def disguised(words: list[str], seed: int = 3) -> list[str]:
+    """Each longer word once with a letter inserted and once with one doubled."""
+    r = np.random.default_rng(seed)
+    out = []
+    for w in words:
+        if len(w) >= 5:
+            i, j = int(r.integers(1, len(w))), int(r.integers(1, len(w) - 1))
+            out += [w[:i] + chr(97 + int(r.integers(26))) + w[i:], w[: j + 1] + w[j:]]
+    return out
+
+
 def _spread(features: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first choice of landmarks."""
     if len(features) <= count:
@@ -234,21 +246,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = sorted({w for t in set(tokens_of(text.as_py())) for w in windows_of(t)})
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int32())], names=["word", "toxic"])
-
-    counted = texts.select("text", "toxic").mapInArrow(split, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    base = sizes[1] / (sizes[0] + sizes[1])
+                tokens = tokens_of(text.as_py())
+                pairs = sorted({(w, before) for before, t in zip(["", *tokens], tokens, strict=False) for w in windows_of(t)})
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)] + [pa.array([toxic] * len(pairs), pa.int32())], names=["word", "before", "toxic"])
+
+    # A window counts once for each token it follows: copies of a text, which repeat its neighbours, add nothing.
+    uses = texts.select("text", "toxic").mapInArrow(split, "word string, before string, toxic int")
+    counted = uses.groupBy("word", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c")).groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = written(counted, "toxic-words")
+    whole = counted.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    if not whole.t or not whole.c:
+        return None
+    base = whole.t / (whole.t + whole.c)
     t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
     part = lambda x, share: F.when(x > 0, x * F.ln(x / n / share)).otherwise(0.0)
-    counted = written(counted.withColumn("ratio", F.when(t / n > base, 2 * (part(t, base) + part(c, 1 - base))).otherwise(0.0)), "toxic-words")
-    rows = counted.filter(F.col("ratio") >= WITNESS).orderBy(F.col("ratio").desc(), "word").limit(MAX_WINDOWS).collect()
+    counted = counted.withColumn("ratio", F.when(t / n > base, 2 * (part(t, base) + part(c, 1 - base))).otherwise(0.0))
+    rows = counted.filter((F.col("ratio") >= WITNESS) & (t / n >= PURITY)).orderBy(F.col("ratio").desc(), "word").limit(MAX_WINDOWS).collect()
     clean = counted.filter((t == 0) & (c > 0))
     common = clean.orderBy(F.col("c").desc(), "word").limit(MAX_WINDOWS // 2).collect()
     rest = clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WINDOWS).collect()
     mixed = counted.filter((c > 0) & (t > 0) & (F.col("ratio") < 2)).orderBy(n.desc(), "word").limit(MAX_WINDOWS // 2).collect()
     good = list(dict.fromkeys(r.word for r in [*common, *mixed, *rest]))
     bad = [r.word for r in rows]
+    bad = list(dict.fromkeys(bad + disguised(bad)))
     if not bad or not good:
         return None
     z_bad = [bad[i] for i in _spread(kernel_features(bad[:600]), LANDMARKS * 5 // 8)]
@@ -257,12 +277,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = values > 1e-4 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = against(bad + good, np.ascontiguousarray(phi.T)) @ whiten
-    y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
-    balance = np.where(y > 0, len(y) / (2 * len(bad)), len(y) / (2 * len(good)))
-    w = train_svm(x, y, balance)
-    weight = (phi.T @ (whiten @ w[:-1])).astype(np.float32)
-    bias = float(w[-1])
+    columns = np.ascontiguousarray(phi.T)
+
+    def machine(good: list[str]) -> tuple[np.ndarray, float]:
+        y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
+        balance = np.where(y > 0, len(y) / (2 * len(bad)), len(y) / (2 * len(good)))
+        w = train_svm(against(bad + good, columns) @ whiten, y, balance)
+        return (phi.T @ (whiten @ w[:-1])).astype(np.float32), float(w[-1])
+
+    first = machine(good)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(window_scores(words, *first), pa.float32())], names=["word", "s"])
+
+    # Windows of clean texts that the first machine finds most insulting teach the second.
+    hard = clean.select("word").mapInArrow(rate, "word string, s float").orderBy(F.col("s").desc(), "word").limit(MAX_WINDOWS // 2).collect()
+    weight, bias = machine(list(dict.fromkeys([*good, *(r.word for r in hard)])))
     got = score_features(texts, weight, bias).join(F.broadcast(picked), "doc_id").select("f0", "f1", "f2", "f3", "toxic").toPandas()
     f, target = got[["f0", "f1", "f2", "f3"]].to_numpy(), got["toxic"].to_numpy()
     return {"weight": weight, "bias": bias, "curve": logistic(f, target)}
