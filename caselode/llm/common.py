@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on executors' disks while several jobs read it.  Its lineage stays, so lost parts are made again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def drop_written(df_or_path, spark: SparkSession) -> None:
     """Delete a written stage that no later step reads."""
     paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}

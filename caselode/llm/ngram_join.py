@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import table, written
+from caselode.llm.common import kept, table, written
 from caselode.llm.components import connected_components
 from caselode.llm.shingles import shingle_set
 
@@ -123,10 +123,15 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) ->
 
 
 def _may_link(a: str, b: str, num: int, den: int):
-    """Size and position bounds between two bucket rows, by prefix of their columns."""
+    """Size, position and bitmap bounds between two bucket rows, by prefix of their columns.
+
+    Each different shingle flips one bit of a bitmap, so two sets differ by at least as many shingles as bits.
+    """
     size = F.least(f"{a}n_shingles", f"{b}n_shingles") * den >= F.greatest(f"{a}n_shingles", f"{b}n_shingles") * num
     room = F.least(F.col(f"{a}n_shingles") - F.col(f"{a}pos"), F.col(f"{b}n_shingles") - F.col(f"{b}pos"))
-    return size & (room * (num + den) >= (F.col(f"{a}n_shingles") + F.col(f"{b}n_shingles")) * num)
+    both = F.col(f"{a}n_shingles") + F.col(f"{b}n_shingles")
+    apart = sum((F.bit_count(F.col(f"{a}b{i}").bitwiseXOR(F.col(f"{b}b{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))))
+    return size & (room * (num + den) >= both * num) & (apart * (num + den) <= both * (den - num))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -136,38 +141,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), n).view(np.int64) for t in batch.column(1)]
-            if sets:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                sets = [shingle_set(t.as_py(), n).view(np.int64) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["member", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["member", "shingles"])
 
     keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = written(docs.select("doc_id", "text").join(keys, "doc_id").dropDuplicates(["member"]).select("member", "text").mapInArrow(run, "member binary, shingles array<long>"), "sets")
+    sets = kept(docs.select("doc_id", "text").join(keys, "doc_id").dropDuplicates(["member"]).select("member", "text").mapInArrow(run, "member binary, shingles array<long>"))
     a = sets.select(F.col("member").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("member").alias("v"), F.col("shingles").alias("sv"))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
-    return written(both.filter(F.col("common") * (den + num) >= (F.size("su") + F.size("sv")) * num).select("u", "v"), "links")
+    links = written(both.filter(F.col("common") * (den + num) >= (F.size("su") + F.size("sv")) * num).select("u", "v"), "links")
+    sets.unpersist()
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose shingle sets have Jaccard ``num/den`` or more are linked."""
-    scanned = written(_scan(docs, n), "scanned")
+    scanned = kept(_scan(docs, n))
     ranks = _commonness(scanned)
     rows = scanned.filter("chunk is null").select("doc_id", "n_shingles", "member")
     owners = rows.filter("n_shingles > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"))
-    prefixed = written(_prefixes(docs, n, num, den, ranks), "prefixed")
-    light = prefixed.select("member", F.posexplode("tokens").alias("pos", "token"))
-    kin = light.select("token", F.xxhash64("member").alias("m")).groupBy("token").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).filter("lo != hi").select("token")
-    held = light.join(kin, "token").groupBy("token", "member").agg(F.first("pos").alias("pos"))
+    prefixed = kept(_prefixes(docs, n, num, den, ranks))
+    # Members go by a short hash here; should two share one, both come back from the join below.
+    light = prefixed.select(F.xxhash64("member").alias("m"), F.posexplode("tokens").alias("pos", "token"))
+    kin = light.groupBy("token").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).filter("lo != hi").select("token")
+    held = light.join(kin, "token").groupBy("token", "m").agg(F.first("pos").alias("pos"))
     members = prefixed.groupBy("member").agg(*[F.first(c).alias(c) for c in ("grp", "n_shingles", "b0", "b1", "b2", "b3")])
-    buckets = written(held.join(members, "member"), "buckets")
+    buckets = written(held.join(members.withColumn("m", F.xxhash64("member")), "m").drop("m"), "buckets")
 
     # Star round.
-    by_group = buckets.groupBy("token", "grp").agg(F.min("member").alias("member"), F.first("pos").alias("pos"), F.first("n_shingles").alias("n_shingles"))
-    leader = by_group.groupBy("token").agg(F.min(F.struct("pos", "n_shingles", "member")).alias("l"))
-    met = by_group.join(leader, "token").select("token", F.col("member").alias("u"), F.col("l.member").alias("v"), F.col("n_shingles").alias("a_n_shingles"), F.col("pos").alias("a_pos"), F.col("l.n_shingles").alias("b_n_shingles"), F.col("l.pos").alias("b_pos"))
-    star = met.filter("u != v").filter(_may_link("a_", "b_", num, den)).select("u", "v")
+    bits = ("b0", "b1", "b2", "b3")
+    by_group = buckets.groupBy("token", "grp").agg(F.min_by(F.struct("member", "pos", "n_shingles", *bits), "member").alias("g")).select("token", "g.*")
+    leader = by_group.groupBy("token").agg(F.min(F.struct("pos", "n_shingles", "member", *bits)).alias("l"))
+    met = by_group.select("token", *[F.col(c).alias(f"a_{c}") for c in ("member", "pos", "n_shingles", *bits)]).join(leader.select("token", *[F.col(f"l.{c}").alias(f"b_{c}") for c in ("member", "pos", "n_shingles", *bits)]), "token")
+    star = met.filter("a_member != b_member").filter(_may_link("a_", "b_", num, den)).select(F.col("a_member").alias("u"), F.col("b_member").alias("v"))
     heads = buckets.groupBy("grp").agg(F.min("member").alias("v"), F.max("member").alias("w")).filter("v != w").select("grp", "v")
     inside = buckets.select("grp", F.col("member").alias("u")).distinct().join(heads, "grp").filter("u != v").select("u", "v")
     links = _verified(star.unionByName(inside), docs, owners, n, num, den)
@@ -179,15 +189,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
     open_ = written(named.join(mixed, "token"), "open")
     a = open_.filter("label != major").select(*[F.col(c).alias(f"a_{c}") for c in ("token", "member", "label", "pos", "n_shingles", "b0", "b1", "b2", "b3")])
     b = open_.select(*[F.col(c).alias(f"b_{c}") for c in ("token", "member", "label", "major", "pos", "n_shingles", "b0", "b1", "b2", "b3")])
-    apart = sum((F.bit_count(F.col(f"a_b{i}").bitwiseXOR(F.col(f"b_b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
-    close = apart * (num + den) <= (F.col("a_n_shingles") + F.col("b_n_shingles")) * (den - num)
     once = (F.col("b_label") == F.col("b_major")) | (F.col("a_member") < F.col("b_member"))
-    rest = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", num, den) & close)
+    rest = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", num, den))
     more = _verified(rest.select(F.col("a_member").alias("u"), F.col("b_member").alias("v")), docs, owners, n, num, den)
     final = written(connected_components(links.unionByName(more)), "labels")
 
     whole = rows.join(final.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
     whole = written(whole.select("doc_id", "n_shingles", "label"), "labelled")
+    for df in (scanned, prefixed):
+        df.unpersist()
     least = whole.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return whole.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

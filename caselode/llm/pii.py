@@ -32,14 +32,16 @@ BASE = {
 }
 #: A cheap test that a text can hold a valid span of the kind at all.
 MAYBE = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]"}
-#: Generators of candidates, by kind.
-GENERATORS = {
-    "email": r"[A-Za-z0-9._%+-]++(?: ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]++(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{2,}+)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{4}){3}(?![0-9])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9-])",
-}
-HINTS = {"email": r"[\[({] ?at ?[\])}]| at [A-Za-z0-9-]++(?: dot |\.)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[._/\x20-][._/\x20-]?[0-9]{4}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[0-9]-[0-9]{2}-[0-9]", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]"}
+#: Generators of candidates: kind, pattern, and a cheap test that it can match at all.
+GENERATORS = [
+    ("email", r"[A-Za-z0-9._%+-]++ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{2,}+)++", r"[\[({] ?at ?[\])}]"),
+    ("email", r"[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{2,}+)++", r" at [A-Za-z0-9-]++(?: ?[\[({] ?dot| dot |\.[A-Za-z0-9])"),
+    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{4}){3}(?![0-9])", r"[0-9]{4}[._/\x20-][._/\x20-]?[0-9]{4}"),
+    ("card", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+    ("card", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
+    ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9-])", r"[0-9]\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]"),
+]
 WORDS = {
     "email": r"mail|contact|write|reach|adres|correo|courriel",
     "ip": r"\bip\b|addr|host|server|login",
@@ -113,14 +115,14 @@ def _by_place(spans: Column) -> Column:
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``proposed``: what the generators find, with the text before and after."""
     t = F.coalesce(F.col(text), F.lit(""))
-    for kind, pattern in GENERATORS.items():
-        docs = docs.withColumn(f"_{kind}", _matches(kind, pattern, t, HINTS[kind], 7))
-    every = F.concat(*[F.col(f"_{k}") for k in BASE])
+    for i, (kind, pattern, hint) in enumerate(GENERATORS):
+        docs = docs.withColumn(f"_g{i}", _matches(kind, pattern, t, hint, 7))
+    every = F.concat(*[F.col(f"_g{i}") for i in range(len(GENERATORS))])
     with_context = F.transform(
         every,
         lambda s: s.withField("before", F.substring(t, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int"))).withField("after", F.substring(t, (s["stop"] + 1).cast("int"), F.lit(1))),
     )
-    return docs.withColumn("proposed", with_context).drop(*[f"_{k}" for k in BASE])
+    return docs.withColumn("proposed", with_context).drop(*[f"_g{i}" for i in range(len(GENERATORS))])
 
 
 def features(s: Column) -> dict[str, Column]:
