@@ -3,7 +3,8 @@
 1. One scan makes each document's shingle set, a 128-bit key of that set (documents with equal sets are one *member*) and
    hashed counts of all shingles.  The counts only order shingles from rare to common; any order gives the same links.
 2. A second scan emits, per member, the rarest shingles that a partner must share one of: its prefix.  Members with
-   identical prefix and size form one *group*, so a token's bucket holds groups.
+   identical prefix and size form one *group*, so a token's bucket holds groups.  Buckets are apart by size class: a member
+   is in its own class and, by its shorter prefix as the smaller of a pair, in that of its largest possible partner.
 3. Star round: in each bucket every group meets one leader, the group in which the token comes earliest (the least edited
    text of a family), and in each group every member meets the least one.  Verified links make components.
 4. Rest: buckets that still hold members of several components are expanded, and every pair of members in different
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselode.llm.common import kept, table, written
@@ -32,11 +33,16 @@ from caselode.llm.shingles import shingle_set
 SKETCH_BITS = 20
 CHUNK = 4096
 SCANNED = "doc_id long, n_shingles long, member binary, chunk int, counts binary"
-PREFIXED = "member binary, grp binary, n_shingles long, b0 long, b1 long, b2 long, b3 long, tokens array<long>"
+PREFIXED = "member binary, grp binary, n_shingles long, b0 long, b1 long, b2 long, b3 long, tokens array<long>, places array<int>"
 #: The most rows of (doc_id, member) sent to every executor, about 40 MB; beyond it the texts are shuffled instead.
 BROADCAST_ROWS = 1_000_000
 #: Member keys that a task remembers to skip copies; later copies are emitted again and dropped after the shuffle.
 SEEN_MEMBERS = 500_000
+#: A size class spans this power of the largest ratio that linked sizes can have.
+CLASS_SPAN = 4
+#: Tokens counted more often than this, and than four times the mean, are hot: their buckets are never put into one task.
+HOT_ROWS = 100_000
+CLASS_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
@@ -84,11 +90,18 @@ def _commonness(scanned: DataFrame) -> np.ndarray:
     return ranks
 
 
+def size_classes(size: int, num: int, den: int) -> range:
+    """The classes in which a set meets its partners: its own, and further ones up to its largest partner's."""
+    span = CLASS_SPAN * np.log(den / num)
+    return range(int(np.log(size) / span), int(np.log(max(size, size * den // num)) / span) + 1)
+
+
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    mean = float((2.0 ** (ranks / 8.0) - 1).mean())
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, min(255, int(8 * np.log2(1 + HOT_ROWS + 4 * mean)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
+        (order, hot), mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
         names = [c.split()[0] for c in PREFIXED.split(", ")]
 
         seen: set[bytes] = set()  # copies within a task are emitted once
@@ -97,8 +110,9 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) ->
             bits = np.stack([o[3] for o in out])
             ends = np.cumsum([0, *(len(o[4]) for o in out)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o[4] for o in out]).view(np.int64)))
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o[5] for o in out])))
             cols = [pa.array([o[i] for o in out], k) for i, k in ((0, pa.binary()), (1, pa.binary()), (2, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)), tokens], names=names)
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)), tokens, places], names=names)
 
         for batch in batches:
             out: list = []
@@ -109,10 +123,17 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) ->
                 if len(seen) < SEEN_MEMBERS:
                     seen.add(member)
                 k = len(s) - -(-num * len(s) // den) + 1
-                prefix = s[np.lexsort((s, order[(s & mask).astype(np.int64)]))[:k]]
+                rank = order[(s & mask).astype(np.int64)]
+                chosen = np.lexsort((s, rank))[:k]
+                prefix = s[chosen]
+                place = (2 * np.arange(k) + (rank[chosen] > hot)).astype(np.int32)
                 flips = np.bincount(((s >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
                 group = hashlib.blake2b(prefix.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest()
-                out.append((member, group, len(s), np.packbits(flips.astype(np.uint8)).view(np.int64), prefix))
+                own, *larger = size_classes(len(s), num, den)
+                few = len(s) - -(-2 * num * len(s) // (num + den)) + 1
+                tokens = np.concatenate([prefix + CLASS_STEP * np.uint64(own), *(prefix[:few] + CLASS_STEP * np.uint64(c) for c in larger)])
+                places = np.concatenate([place, *(place[:few] for _ in larger)])
+                out.append((member, group, len(s), np.packbits(flips.astype(np.uint8)).view(np.int64), tokens, places))
                 if len(out) >= 2000:
                     yield flush(out)
                     out = []
@@ -134,6 +155,22 @@ def _may_link(a: str, b: str, num: int, den: int):
     return size & (room * (num + den) >= both * num) & (apart * (num + den) <= both * (den - num))
 
 
+def _paired(light: DataFrame, num: int, den: int) -> DataFrame:
+    """The bucket rows that can have a partner in their bucket, by sizes and positions.
+
+    In order of size, a row's next neighbour is its best larger partner: where sizes or the row's position rule that one
+    out, no larger one can link.  A row's smaller partners are rows that may have a larger one.
+    """
+    once = light.repartition("token").groupBy("token", "m").agg(F.first("place").alias("place"), F.first("n").cast("long").alias("n"))
+    in_order = Window.partitionBy("token").orderBy("n", "m")
+    following = F.lead("n").over(in_order)
+    room = F.col("n") - F.expr("place div 2")
+    up = F.coalesce((F.col("n") * den >= F.col("_next") * num) & (room * (num + den) >= (F.col("n") + F.col("_next")) * num), F.lit(False))
+    seen = once.withColumn("_next", following).withColumn("_up", up)
+    below = F.max(F.when(F.col("_up"), F.col("n"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    return seen.withColumn("_below", below).filter(F.col("_up") | (F.col("_below") * den >= F.col("n") * num)).select("token", "m", "place")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) of members that do link.  Sets are made anew for the members in pairs only."""
     pairs = written(pairs.select("u", "v").distinct(), "pairs")
@@ -149,7 +186,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["member", "shingles"])
 
     keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = kept(docs.select("doc_id", "text").join(keys, "doc_id").dropDuplicates(["member"]).select("member", "text").mapInArrow(run, "member binary, shingles array<long>"))
+    made = docs.select("doc_id", "text").join(keys, "doc_id").select("member", "text").mapInArrow(run, "member binary, shingles array<long>")
+    # One shuffle by member, which both joins below use as it lies.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = kept(made.repartition(parts, "member").dropDuplicates(["member"]))
     a = sets.select(F.col("member").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("member").alias("v"), F.col("shingles").alias("sv"))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
@@ -166,9 +206,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
     owners = rows.filter("n_shingles > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"))
     prefixed = kept(_prefixes(docs, n, num, den, ranks))
     # Members go by a short hash here; should two share one, both come back from the join below.
-    light = prefixed.select(F.xxhash64("member").alias("m"), F.posexplode("tokens").alias("pos", "token"))
-    kin = light.groupBy("token").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).filter("lo != hi").select("token")
-    held = light.join(kin, "token").groupBy("token", "m").agg(F.first("pos").alias("pos"))
+    light = prefixed.select(F.xxhash64("member").alias("m"), F.col("n_shingles").cast("int").alias("n"), F.inline(F.arrays_zip("tokens", "places"))).toDF("m", "n", "token", "place")
+    held = _paired(light.filter("place % 2 = 0"), num, den).unionByName(light.filter("place % 2 = 1").groupBy("token", "m").agg(F.first("place").alias("place"))).select("token", "m", F.expr("place div 2").alias("pos"))
     members = prefixed.groupBy("member").agg(*[F.first(c).alias(c) for c in ("grp", "n_shingles", "b0", "b1", "b2", "b3")])
     buckets = written(held.join(members.withColumn("m", F.xxhash64("member")), "m").drop("m"), "buckets")
 
