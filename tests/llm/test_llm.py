@@ -294,7 +294,5 @@ def test_pipeline(spark):
         assert rows
         if name == "near_duplicates":
             assert len({r.doc_id for r in rows}) == len(rows)
-        if name == "pii":
-            assert not any(base_of(r.text) for r in rows if r.text and "card" not in r.text) or True
         docs = spark.createDataFrame(rows, docs.schema)
     assert p.STAGES[-1][1](spark, docs, f"{DATA}/sf0.001").count() >= docs.count()
