@@ -92,6 +92,17 @@ def test_ngram_join(spark, n, num, den):
     assert [out[i].component_id for i in range(len(texts))] == label
 
 
+def test_ngram_join_of_hot_tokens(spark, monkeypatch):
+    """Where every token counts as hot, the links are the same."""
+    r = random.Random(9)
+    base = words(r, 60).split()
+    texts = [" ".join([*base[:i], "zz", *base[i + 1 :]]) for i in range(8)] + [words(r, 60) for _ in range(8)]
+    want = sorted(ngram_join.jaccard_components(docs_of(spark, texts), 3, 4, 5).collect())
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 0)
+    assert sorted(ngram_join.jaccard_components(docs_of(spark, texts), 3, 4, 5).collect()) == want
+    assert len({x.component_id for x in want}) < len(texts)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(docs_of(spark, ["a"]).filter("false")).count() == 0
 
