@@ -48,7 +48,7 @@ def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, lis
     per = edges.join(nodes, "src").groupBy("dst", "rel").agg(*means)
     turned = None
     for rel, w in weights.items():
-        row = [sum((F.col(f"_{i}") * float(w[i][j]) for i in range(dims)), F.lit(0.0)) for j in range(dims)]
+        row = [sum((F.col(f"_{i}") * float(w[i][j]) for i in range(dims) if w[i][j]), F.lit(0.0)) for j in range(dims)]
         part = per.filter(F.col("rel") == rel).select("dst", *[c.alias(f"_{j}") for j, c in enumerate(row)])
         turned = part if turned is None else turned.unionByName(part)
     added = turned.groupBy("dst").agg(*[F.sum(f"_{j}").alias(f"_{j}") for j in range(dims)])

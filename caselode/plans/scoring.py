@@ -65,6 +65,56 @@ def relational_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("dst").alias("case_id"), F.round(F.col("v")[0], 6).alias("v1"), F.round(F.col("v")[1], 6).alias("v2"))
 
 
+#: The whole job: every component of every vector; a case's symptoms have the vectors of their own numbers.
+WHOLE = "s AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS vec_id FROM lineitem), c AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+HEAD = (1.0, 2.0, -1.0, 0.5)
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """(case_id, vec_id) of all symptoms, (vec_id, v) of all vectors, and how many components these have."""
+    symptoms = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("vec_id")).distinct()
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return symptoms, vectors, vectors.agg(F.max(F.size("v"))).first()[0] or 0
+
+
+@query(f"""WITH {WHOLE}, e AS (SELECT vec_id, exp(x) AS e FROM c WHERE i = 1), p AS (SELECT case_id, i, sum(e * x) / sum(e) AS p FROM s JOIN e USING (vec_id) JOIN c USING (vec_id) GROUP BY 1, 2)
+SELECT case_id, round(sum(p * CASE i % 4 WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 WHEN 3 THEN -1.0 ELSE 0.5 END), 6) AS score FROM p GROUP BY 1""")
+def setattn_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention over a case's symptom set, then a linear head whose weights repeat over all components."""
+    symptoms, vectors, dims = _whole(spark, sf_dir)
+    rows = symptoms.join(vectors, "vec_id").withColumn("w", F.col("v")[0])
+    pooled = S.attention_pool(rows, "case_id", "w", "v", dims)
+    return pooled.select("case_id", F.round(S.dot("pooled", F.array(*[F.lit(HEAD[i % len(HEAD)]) for i in range(dims)])), 6).alias("score"))
+
+
+@query(f"""WITH {WHOLE}, d AS (SELECT vec_id, count(*) AS n FROM s GROUP BY 1), m AS (SELECT case_id, i, sum(x / n) AS x FROM s JOIN d USING (vec_id) JOIN c USING (vec_id) GROUP BY 1, 2)
+SELECT case_id, i AS component, round(x, 6) AS value FROM m""")
+def bipartite_message_pass_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One layer over column-normalised symptom edges, a row per component."""
+    symptoms, vectors, dims = _whole(spark, sf_dir)
+    degree = symptoms.groupBy("vec_id").agg((1 / F.count("*")).alias("w"))
+    edges = symptoms.join(degree, "vec_id").select(F.col("case_id").alias("dst"), F.col("vec_id").alias("src"), "w")
+    out = S.message_pass(edges, vectors.withColumnRenamed("vec_id", "src"), dims)
+    return _by_component(out)
+
+
+@query(f"""WITH {WHOLE}, a AS (SELECT case_id, vec_id % 2 AS rel, i, avg(x) AS a FROM s JOIN c USING (vec_id) GROUP BY 1, 2, 3),
+b AS (SELECT case_id, rel, (i + 1) // 2 AS pair, coalesce(max(a) FILTER (i % 2 = 1), 0.0) AS a1, coalesce(max(a) FILTER (i % 2 = 0), 0.0) AS a2 FROM a GROUP BY 1, 2, 3),
+t AS (SELECT case_id, pair, sum(CASE rel WHEN 0 THEN a1 ELSE -a1 + 2 * a2 END) AS v1, sum(CASE rel WHEN 0 THEN 0.5 * a1 + a2 ELSE a2 END) AS v2 FROM b GROUP BY 1, 2)
+SELECT case_id, pair * 2 - 1 AS component, round(greatest(v1, 0.0), 6) AS value FROM t UNION ALL SELECT case_id, pair * 2, round(greatest(v2, 0.0), 6) FROM t""")
+def relational_convolution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relational graph layer whose matrices repeat those of the two relations along the diagonal, a row per component."""
+    symptoms, vectors, dims = _whole(spark, sf_dir)
+    e = symptoms.select(F.col("case_id").alias("dst"), F.col("vec_id").alias("src"), (F.col("vec_id") % 2).alias("rel"))
+    weights = {r: [[w[i % 2][j % 2] if i // 2 == j // 2 else 0.0 for j in range(dims)] for i in range(dims)] for r, w in RELATIONS.items()}
+    return _by_component(S.graph_convolution(e, vectors.withColumnRenamed("vec_id", "src"), weights, dims))
+
+
+def _by_component(out: DataFrame) -> DataFrame:
+    """(case_id, component, value) of (dst, v); components count from 1."""
+    return out.select(F.col("dst").alias("case_id"), F.posexplode("v").alias("i", "x")).select("case_id", (F.col("i") + 1).cast("long").alias("component"), F.round("x", 6).alias("value"))
+
+
 @query()
 def mllib_pointwise_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point-wise logistic scorer: trained on the vector table, ranked within each group of 100 ids."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from caselode.functions import text as T
 from caselode.operators import metrics, scorers
+from caselode.plans import scoring
 from caselode.plans.generation import validation_errors
 from caselode.plans.ranking import frozen
 from caselode.plans.serving import search_category
@@ -95,3 +96,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda r: (r.start, r.event_type, r.n)
     assert sorted(map(key, spark.table("w").collect())) == sorted(map(key, windowed_counts(events).collect()))
+
+
+def test_scorers_read_whole_vectors_and_all_symptoms(spark, tmp_path):
+    """Symptoms 500 apart stay apart, and components past the fourth count."""
+    import math
+
+    v = {i: [((i * 7 + j * 3) % 11) / 10 for j in range(6)] for i in (2, 3, 502)}
+    spark.createDataFrame(list(v.items()), "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cases = {1: [2, 502], 2: [2, 3]}
+    spark.createDataFrame([(c, s) for c, ids in cases.items() for s in [*ids, ids[0]]], "l_orderkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    degree = {2: 2, 3: 1, 502: 1}
+    score = {r.case_id: r.score for r in scoring.setattn_score_whole(spark, str(tmp_path)).collect()}
+    passed = {(r.case_id, r.component): r.value for r in scoring.bipartite_message_pass_whole(spark, str(tmp_path)).collect()}
+    turned = {(r.case_id, r.component): r.value for r in scoring.relational_convolution_whole(spark, str(tmp_path)).collect()}
+    for c, ids in cases.items():
+        z = sum(math.exp(v[s][0]) for s in ids)
+        assert score[c] == pytest.approx(sum((1, 2, -1, 0.5)[j % 4] * sum(math.exp(v[s][0]) * v[s][j] for s in ids) / z for j in range(6)), abs=1e-5)
+        for j in range(6):
+            assert passed[c, j + 1] == pytest.approx(sum(v[s][j] / degree[s] for s in ids), abs=1e-5)
+            want = 0.0
+            for rel in {s % 2 for s in ids}:
+                of = [v[s] for s in ids if s % 2 == rel]
+                want += sum(scoring.RELATIONS[rel][i % 2][j % 2] * sum(x[i] for x in of) / len(of) for i in (j // 2 * 2, j // 2 * 2 + 1))
+            assert turned[c, j + 1] == pytest.approx(max(0.0, want), abs=1e-5)
