@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +56,27 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Cosine of the stated queries (query_id, qv) with every row of ``corpus`` (doc_id, v).
+#: Queries that one broadcast holds, about 4 MB of 64 components.
+QUERY_BLOCK = 8192
 
-    The query set is what an online batch holds; it is broadcast, the corpus streams past it and each task keeps its best k.
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, own: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
+    """Cosine of the stated queries (query_id, qv) with every row of ``corpus`` (doc_id, v); without ``own``, but the query's own id.
+
+    Queries go past the corpus in blocks by hash of about ``block``; only one block is broadcast at a time, and each task
+    keeps its best k.  A block's result is kept on disk before the next one starts.
     """
-    pairs = corpus.join(F.broadcast(queries), F.lit(True))
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return _dense_block(queries, corpus, k, own)
+    whole = None
+    for i in range(blocks):
+        part = _dense_block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), corpus, k, own).persist(StorageLevel.DISK_ONLY)
+        part.count()
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+def _dense_block(queries: DataFrame, corpus: DataFrame, k: int, own: bool) -> DataFrame:
+    pairs = corpus.join(F.broadcast(queries), F.lit(True) if own else F.col("query_id") != F.col("doc_id"))
     return top(pairs.select("query_id", "doc_id", F.round(cosine("qv", "v"), 6).alias("score")), k, "doc_id")

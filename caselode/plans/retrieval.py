@@ -68,6 +68,19 @@ def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_topk(q, v.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 10)
 
 
+@query("""
+WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
+  round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))), 6) AS score
+  FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
+def dense_cosine_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries against every row but their own."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return retrieval.dense_topk(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 10, own=False)
+
+
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's text; items are the small, stated side."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))

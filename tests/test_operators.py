@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselode.functions import text as T
-from caselode.operators import metrics, scorers
+from caselode.operators import metrics, retrieval, scorers
 from caselode.plans import scoring
 from caselode.plans.generation import validation_errors
 from caselode.plans.ranking import frozen
@@ -120,3 +120,13 @@ def test_scorers_read_whole_vectors_and_all_symptoms(spark, tmp_path):
                 of = [v[s] for s in ids if s % 2 == rel]
                 want += sum(scoring.RELATIONS[rel][i % 2][j % 2] * sum(x[i] for x in of) / len(of) for i in (j // 2 * 2, j // 2 * 2 + 1))
             assert turned[c, j + 1] == pytest.approx(max(0.0, want), abs=1e-5)
+
+
+def test_dense_topk_in_blocks_against_every_other_row(spark):
+    """A neighbour whose id is divisible by 50 is found, a query's own row isn't, and blocks change nothing."""
+    df = spark.createDataFrame([(i, [1.0, i / 100]) for i in (0, 1, 50, 51, 100, 170)], "id bigint, v array<float>")
+    q, c = df.filter("id % 50 = 0").selectExpr("id query_id", "v qv"), df.selectExpr("id doc_id", "v")
+    want = [(0, 1), (0, 50), (50, 51), (50, 100), (100, 170), (100, 51)]
+    for block in (1, 100):
+        got = retrieval.dense_topk(q, c, 2, own=False, block=block).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.doc_id) for r in got] == want
