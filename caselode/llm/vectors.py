@@ -18,9 +18,10 @@ def collapsed(vectors: DataFrame, id_: str, vec: str, keep: int) -> DataFrame:
     """One row per different vector with its ``keep`` smallest ids, ascending.
 
     A result of k rows needs at most k + 1 ids of equal vectors (one may be the query's own), so with ``keep`` of k + 1
-    nothing is lost.  A hot vector's rows are cut to ``keep`` within salted parts first.
+    nothing is lost.  Repeated rows count once, before any cut.  A hot vector's rows are cut to ``keep`` within salted
+    parts first.
     """
-    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64(id_), F.lit(SALTS)))
+    salted = vectors.dropDuplicates([id_, vec]).withColumn("_salt", F.pmod(F.xxhash64(id_), F.lit(SALTS)))
     rank = F.row_number().over(Window.partitionBy(vec, "_salt").orderBy(id_))
     first = salted.withColumn("_n", rank).filter(F.col("_n") <= keep).drop("_n", "_salt")
     again = first.withColumn("_n", F.row_number().over(Window.partitionBy(vec).orderBy(id_))).filter(F.col("_n") <= keep)

@@ -207,6 +207,17 @@ def test_vector_searches(spark):
         assert list(mine.score) == list(s[keep][best])
 
 
+def test_vector_searches_of_repeated_rows(spark):
+    """A row repeated more than k + 1 times counts once and pushes out neither equal vectors nor neighbours."""
+    rows = [(7, [1.0, 2.0])] * 25 + [(8, [1.0, 2.0]), (9, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.5, 0.5])]
+    df = vectors_of(spark, rows)
+    out = hnsw.search_index(hnsw.build_index(df, 2, 3), df.filter("id in (1, 7)"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in out] == [(1, 7), (1, 8), (1, 9), (7, 8), (7, 9), (7, 1)]
+    zi = df.select("id", F.transform("vec", lambda x: F.floor(x * 2)).alias("vec"))
+    got = impact_index.search_index(impact_index.build_index(zi, 2, 3), zi.filter("id in (1, 7)"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(1, 7), (1, 8), (1, 9), (7, 8), (7, 9), (7, 1)]
+
+
 def test_chat_layouts(spark):
     import json
 
