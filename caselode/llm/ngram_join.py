@@ -12,7 +12,10 @@
    Pairs inside one component cannot change a result and are never made, so a family of k copies costs about k pairs.
 
 Defined results: null or empty texts have no shingles and link with nothing; texts of fewer words than a shingle are one
-shingle; repeated rows share a component; further columns of the input are ignored; an empty table gives no rows.
+shingle; repeated rows share a component; further columns of the input are ignored; an empty table gives no rows.  Rows go
+by a hash of id and text, so rows of null id link like others, and two texts of one id link only if their sets do.  A
+component is named by its least id (null where it has none); unlinked texts of one id can give two components one name, which
+``survivors`` keeps apart.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselode.llm.common import kept, table, written
@@ -32,9 +35,9 @@ from caselode.llm.shingles import shingle_set
 
 SKETCH_BITS = 20
 CHUNK = 4096
-SCANNED = "doc_id long, n_shingles long, member binary, chunk int, counts binary"
+SCANNED = "doc_id long, key long, n_shingles long, member binary, chunk int, counts binary"
 PREFIXED = "member binary, grp binary, n_shingles long, b0 long, b1 long, b2 long, b3 long, tokens array<long>, places array<int>"
-#: The most rows of (doc_id, member) sent to every executor, about 40 MB; beyond it the texts are shuffled instead.
+#: The most rows of (key, member) sent to every executor, about 40 MB; beyond it the texts are shuffled instead.
 BROADCAST_ROWS = 1_000_000
 #: Member keys that a task remembers to skip copies; later copies are emitted again and dropped after the shuffle.
 SEEN_MEMBERS = 500_000
@@ -45,6 +48,10 @@ HOT_ROWS = 100_000
 CLASS_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -52,7 +59,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
         names = [c.split()[0] for c in SCANNED.split(", ")]
         for batch in batches:
             sizes, keys, held, rows = [], [], [], 0
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), n)
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -64,12 +71,12 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
             if rows:
                 total += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=len(total))
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         parts = [(i, zlib.compress(total[i * CHUNK : (i + 1) * CHUNK].tobytes(), 1)) for i in range(len(total) // CHUNK) if total[i * CHUNK : (i + 1) * CHUNK].any()]
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCANNED)
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, SCANNED)
 
 
 def _commonness(scanned: DataFrame) -> np.ndarray:
@@ -177,16 +184,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num:
     needed = written(owners.join(pairs.select(F.col("u").alias("member")).unionByName(pairs.select(F.col("v").alias("member"))).distinct(), "member"), "needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows have one key: their set is made once in a task
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sets = [shingle_set(t.as_py(), n).view(np.int64) for t in part.column(1)]
+                members, sets = [], []
+                for member, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    if member in seen:
+                        continue
+                    s = shingle_set(text.as_py(), n)
+                    # Another text of the same key is no text of this member.
+                    if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == member:
+                        members.append(member)
+                        sets.append(s.view(np.int64))
+                        if len(seen) < SEEN_MEMBERS:
+                            seen.add(member)
+                if not members:
+                    continue
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["member", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), lists], names=["member", "shingles"])
 
     keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    made = docs.select("doc_id", "text").join(keys, "doc_id").select("member", "text").mapInArrow(run, "member binary, shingles array<long>")
+    made = docs.select(row_key().alias("key"), "text").join(keys, "key").select("member", "text").mapInArrow(run, "member binary, shingles array<long>")
     # One shuffle by member, which both joins below use as it lies.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = kept(made.repartition(parts, "member").dropDuplicates(["member"]))
@@ -198,12 +218,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num:
     return links
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents whose shingle sets have Jaccard ``num/den`` or more are linked."""
+def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, key, n_shingles, label) of every row; rows of one component have one label, rows without shingles none."""
     scanned = kept(_scan(docs, n))
     ranks = _commonness(scanned)
-    rows = scanned.filter("chunk is null").select("doc_id", "n_shingles", "member")
-    owners = rows.filter("n_shingles > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"))
+    rows = scanned.filter("chunk is null").select("doc_id", "key", "n_shingles", "member")
+    owners = rows.filter("n_shingles > 0").groupBy("member").agg(F.min("key").alias("key"))
     prefixed = kept(_prefixes(docs, n, num, den, ranks))
     # Members go by a short hash here; should two share one, both come back from the join below.
     light = prefixed.select(F.xxhash64("member").alias("m"), F.col("n_shingles").cast("int").alias("n"), F.inline(F.arrays_zip("tokens", "places"))).toDF("m", "n", "token", "place")
@@ -234,12 +254,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
     final = written(connected_components(links.unionByName(more)), "labels")
 
     whole = rows.join(final.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
-    whole = written(whole.select("doc_id", "n_shingles", "label"), "labelled")
+    whole = written(whole.select("doc_id", "key", "n_shingles", "label"), "labelled")
     for df in (scanned, prefixed):
         df.unpersist()
+    return whole
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents whose shingle sets have Jaccard ``num/den`` or more are linked."""
+    whole = _labelled(docs, n, num, den)
     least = whole.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return whole.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def survivors(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and all without shingles.
+
+    A component's row is the one of the least id, nulls last, then of the least hash of id and text.  Rows of the same id
+    and text are one; rows without an id and without shingles can't be told to be copies and all stay.
+    """
+    whole = _labelled(docs, n, num, den)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = whole.filter("label is not null").groupBy("label").agg(F.min(order).alias("o")).select("o.doc_id", "o.key")
+    stay = first.unionByName(whole.filter("label is null and doc_id is not null").select("doc_id", "key").distinct())
+    keyed = docs.withColumn("_key", row_key()).alias("l")
+    kept_ = keyed.join(stay.alias("r"), (F.col("l._key") == F.col("r.key")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi").drop("_key")
+    nameless = docs.filter(F.col("doc_id").isNull() & F.coalesce(~F.col("text").rlike(r"[^\t\n\x0B\f\r ]"), F.lit(True)))
+    return kept_.dropDuplicates(["doc_id", "text"]).unionByName(nameless)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)

@@ -25,10 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest id, once."""
-    found = ngram_join.jaccard_components(docs, n=5, num=4, den=5).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(found, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: the one of the smallest id, once; ids may be null or shared."""
+    return ngram_join.survivors(docs.select(*COLUMNS), n=5, num=4, den=5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

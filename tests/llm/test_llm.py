@@ -103,6 +103,25 @@ def test_ngram_join_of_hot_tokens(spark, monkeypatch):
     assert len({x.component_id for x in want}) < len(texts)
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    """Documents without an id stay and link like others; two texts of one id are two documents."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    base = words(r, 80).split()
+    near, a, b, c = " ".join([*base[:-1], "zz"]), words(r, 60), words(r, 60), words(r, 60)
+    rows = [(None, a), (None, b), (None, b), (None, near), (None, ""), (None, None), (1, " ".join(base)), (5, c), (5, words(r, 60)), (5, c), (6, c + " zz"), (7, ""), (7, ""), (None, " ".join(base[1:]))]
+    lone = words(r, 70).split()
+    rows += [(None, " ".join(lone)), (None, " ".join(lone[:-1]))]
+    df = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()]
+    assert len(set(got) & {(None, " ".join(lone)), (None, " ".join(lone[:-1]))}) == 1
+    want = [(None, a), (None, b), (None, ""), (None, None), (1, " ".join(base)), (5, c), (5, rows[8][1]), (7, "")]
+    assert sorted((x for x in got if x[1] not in (" ".join(lone), " ".join(lone[:-1]))), key=str) == sorted(want, key=str)
+    named = {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, 5, 4, 5).collect()}
+    assert (None, 76, 1) in named and (None, 56, None) in named and (6, 57, 5) in named
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(docs_of(spark, ["a"]).filter("false")).count() == 0
 
