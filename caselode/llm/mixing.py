@@ -7,7 +7,8 @@ token-prefix of one more, in which documents stand in an order seeded by the epo
 
 Prefixes need running sums, and one leaf may hold a third of all rows.  So each leaf's order is cut into ``BUCKETS`` by
 hash; sums per bucket, combined before the shuffle, give where each bucket starts, and only the one bucket per leaf
-and epoch in which a budget ends is ordered row by row.
+and epoch in which a budget ends is ordered row by row.  Budgets are worked out by grouped steps too, so the number of leaves
+has no cap.
 
 Defined results: null and empty texts have no tokens and are in each epoch's prefix up to its end; null domains, languages
 or sources are leaves of their own; repeated rows are separate documents; leaves without a weight get ``default_weight``; an
@@ -16,6 +17,7 @@ empty table gives no rows; further columns are passed.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 from caselode.llm.common import table, written
 
 BUCKETS = 1024
-#: Leaves of the tree at most: the budgets are worked out on the driver.
-MAX_LEAVES = 200_000
 LEVELS = ("_domain", "_language", "_source")
 #: Leaf rows sent to every executor at most.
 BROADCAST_ROWS = 500_000
@@ -45,26 +45,30 @@ def share(budget: float, weights: list[float], room: list[float]) -> list[float]
         for i in full:  # a filled child takes its room; the rest is split anew
             left -= room[i] - got[i]
             got[i] = room[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        filled = set(full)
+        open_ = [i for i in open_ if i not in filled]
     return got
 
 
 def budgets(leaves: dict[tuple, int], target: int, weights: dict[tuple, float], max_epochs: int, default_weight: float = 1.0) -> dict[tuple, int]:
-    """Tokens to take from each leaf.  ``weights`` holds any node by its path: (domain,), (domain, language) or a leaf."""
+    """Tokens to take from each leaf of a small tree, on the driver: what ``planned`` does for trees of any size.
+
+    ``weights`` holds any node by its path: (domain,), (domain, language) or a leaf.
+    """
     room: dict[tuple, float] = defaultdict(float)
-    children: dict[tuple, list[tuple]] = defaultdict(list)
+    children: dict[tuple, dict[tuple, None]] = defaultdict(dict)
     for leaf in sorted(leaves, key=str):
         for depth in range(len(leaf) + 1):
             room[leaf[:depth]] += leaves[leaf] * max_epochs
-            if depth < len(leaf) and leaf[: depth + 1] not in children[leaf[:depth]]:
-                children[leaf[:depth]].append(leaf[: depth + 1])
+            if depth < len(leaf):
+                children[leaf[:depth]][leaf[: depth + 1]] = None
     out: dict[tuple, int] = {}
 
     def down(node: tuple, budget: float) -> None:
         if len(node) == len(LEVELS):
             out[node] = int(budget + 1e-6)
             return
-        below = children[node]
+        below = list(children[node])
         for child, part in zip(below, share(budget, [weights.get(c, default_weight) for c in below], [room[c] for c in below]), strict=True):
             down(child, part)
 
@@ -73,27 +77,65 @@ def budgets(leaves: dict[tuple, int], target: int, weights: dict[tuple, float],
     return out
 
 
+def _same(columns: tuple[str, ...]) -> Column:
+    """Equal paths in ``l`` and ``r``, null nodes included; the root's path is empty."""
+    return functools.reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns], F.lit(True))
+
+
+def planned(leaves: DataFrame, target_share: float, weights: dict[tuple, float], max_epochs: int, default_weight: float = 1.0) -> DataFrame:
+    """(levels, _full, _rest): whole epochs of each leaf of (levels, t), and tokens of one more.
+
+    Each level is a few grouped steps.  Siblings by room over weight: those that fill up come first, and the running sums of
+    room and weight tell where they end.  Siblings of one ratio are added up before, so a parent's run has a row for each
+    different ratio: with one weight at most sqrt(2 x tokens), however many leaves.
+    """
+    spark = leaves.sparkSession
+    total = leaves.agg(F.sum("t")).first()[0] or 0
+    given = None
+    for depth in range(1, len(LEVELS) + 1):
+        parent, path = LEVELS[: depth - 1], LEVELS[:depth]
+        nodes = leaves.groupBy(*path).agg((F.sum("t") * max_epochs).cast("double").alias("_room"))
+        known = spark.createDataFrame([(*k, float(w)) for k, w in weights.items() if len(k) == depth], ", ".join(f"{c} string" for c in path) + ", _weight double")
+        known = F.broadcast(known) if len(weights) <= BROADCAST_ROWS else known
+        nodes = nodes.alias("l").join(known.alias("r"), _same(path), "left").select("l.*", F.coalesce("r._weight", F.lit(float(default_weight))).alias("_weight"))
+        open_ = (F.col("_weight") > 0) & (F.col("_room") > 0)
+        ratios = nodes.filter(open_).groupBy(*parent, (F.col("_room") / F.col("_weight")).alias("_ratio")).agg(F.sum("_room").alias("_room"), F.sum("_weight").alias("_weight"))
+        if given is None:
+            ratios = ratios.withColumn("_budget", F.lit(float(int(total * target_share))))
+        else:
+            ratios = ratios.alias("l").join(given.alias("r"), _same(parent)).select("l.*", "r._budget")
+        up = Window.partitionBy(*parent).orderBy("_ratio").rowsBetween(Window.unboundedPreceding, -1)
+        down = Window.partitionBy(*parent).orderBy(F.desc("_ratio")).rowsBetween(Window.unboundedPreceding, 0)
+        filled = F.coalesce(F.sum("_room").over(up), F.lit(0.0)) + F.col("_ratio") * F.sum("_weight").over(down) <= F.col("_budget") + 1e-9
+        ends = ratios.withColumn("_filled", filled).groupBy(*parent).agg(
+            F.first("_budget").alias("_budget"), F.coalesce(F.sum(F.when(F.col("_filled"), F.col("_room"))), F.lit(0.0)).alias("_taken"), F.sum(F.when(~F.col("_filled"), F.col("_weight"))).alias("_open")
+        )
+        # Tokens for one unit of weight; null where every child is full.
+        ends = ends.select(*parent, ((F.col("_budget") - F.col("_taken")) / F.col("_open")).alias("_unit"), F.lit(True).alias("_any"))
+        part = F.when(F.col("_any") & open_, F.when(F.col("_unit").isNull(), F.col("_room")).otherwise(F.least("_room", F.greatest("_unit", F.lit(0.0)) * F.col("_weight")))).otherwise(0.0)
+        given = nodes.alias("l").join(ends.alias("r"), _same(parent), "left").select("l.*", "r._unit", "r._any").select(*path, part.alias("_budget"))
+        given = written(given, "budgets")
+    take = F.floor(F.col("_budget") + 1e-6)
+    taken = leaves.alias("l").join(given.alias("r"), _same(LEVELS)).select("l.*", take.alias("_take"))
+    full = F.when(F.col("t") > 0, F.expr("_take div t")).otherwise(F.lit(0).cast("long"))
+    return taken.withColumn("_full", full).select(*LEVELS, "_full", (F.col("_take") - F.col("_full") * F.col("t")).alias("_rest"))
+
+
 def mix(docs: DataFrame, levels: tuple[Column, Column, Column], target_share: float, weights: dict[tuple, float], max_epochs: int = 2, seed: int = 17, tokens: Column | None = None) -> DataFrame:
     """The rows of the mixture, ``docs`` with ``mix_epoch`` and ``mix_tokens``; a row appears once for each epoch it is in.
 
     ``target_share`` is the size asked for, as a share of all tokens.  Tokens are words unless a column is given.
     """
-    spark = docs.sparkSession
     count = tokens if tokens is not None else F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
     columns = docs.columns
     sized = docs.select("*", *[c.cast("string").alias(n) for c, n in zip(levels, LEVELS, strict=True)], count.cast("long").alias("mix_tokens"))
     sized = written(sized.withColumn("_row", F.xxhash64(*columns)), "mix")
-    leaf_rows = sized.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("t")).limit(MAX_LEAVES + 1).collect()
-    if len(leaf_rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves: group sources first")
-    leaves = {tuple(r[c] for c in LEVELS): int(r.t) for r in leaf_rows}
-    take = budgets(leaves, int(sum(leaves.values()) * target_share), weights, max_epochs)
-    plan = [(*leaf, leaves[leaf] and a // leaves[leaf], a - (leaves[leaf] and a // leaves[leaf]) * leaves[leaf]) for leaf, a in take.items()]
-    schema = ", ".join(f"{c} string" for c in LEVELS) + ", _full long, _rest long"
-    planned = spark.createDataFrame(plan, schema)
+    leaves = written(sized.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("t")), "leaves")
+    plan = written(planned(leaves, target_share, weights, max_epochs), "plan")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in LEVELS]
 
-    with_plan = sized.alias("l").join(F.broadcast(planned).alias("r"), same).select("l.*", "r._full", "r._rest")
+    with_plan = sized.alias("l").join(plan.alias("r"), same).select("l.*", "r._full", "r._rest")
     order = F.xxhash64(F.lit(seed), F.col("_full"), "_row")
     ordered = with_plan.withColumn("_order", order).withColumn("_bucket", F.shiftrightunsigned("_order", 54).cast("int"))
     sums = ordered.groupBy(*LEVELS, "_bucket").agg(F.sum("mix_tokens").alias("t"), F.first("_rest").alias("_rest"))

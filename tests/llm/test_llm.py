@@ -276,6 +276,33 @@ def test_budgets():
     assert sum(mixing.budgets(leaves, 10**6, {}, 2).values()) == 2 * sum(leaves.values())
 
 
+def test_budgets_of_many_leaves(spark):
+    """More leaves than the driver took before, under one parent; and the same budgets as the driver's on odd trees."""
+    r = random.Random(8)
+    weights = {("a",): 2.0, ("b",): 0.0, ("a", "x"): 3.0, ("a", "x", "3"): 5.0, ("a", "y", "4"): 0.0, (None,): 0.5}
+    for share_ in (0.0, 0.1, 0.5, 1.3, 5.0):
+        leaves = {(d, lang, str(i)): r.choice([0, 1, 7, 100, 3000]) for d in ("a", "b", "c", None) for lang in ("x", "y", None) for i in range(r.randint(1, 9))}
+        df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], ", ".join(f"{c} string" for c in mixing.LEVELS) + ", t long")
+        want = mixing.budgets(leaves, int(sum(leaves.values()) * share_), weights, 2)
+        got = {tuple(x[:3]): x._full * leaves[tuple(x[:3])] + x._rest for x in mixing.planned(df, share_, weights, 2).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) <= 1 for k in want)
+    n = 200_001
+    many = spark.range(n).selectExpr("'d' _domain", "'en' _language", "cast(id as string) _source", "1 + id % 50 t")
+    tokens_ = sum(1 + i % 50 for i in range(n))
+    got = mixing.planned(many, 0.5, {}, 1).selectExpr("count(*) n", "sum(_full * (1 + cast(_source as long) % 50) + _rest) t").first()
+    assert got.n == n
+    assert 0.5 * tokens_ - n <= got.t <= 0.5 * tokens_
+
+
+def test_mixing_joins_a_large_plan_by_shuffle(spark, monkeypatch):
+    df = docs_of(spark, [words(random.Random(i), 20) for i in range(60)])
+    args = ((F.lit("d"), F.col("lang"), F.col("source")), 0.7, {})
+    want = sorted((x.doc_id, x.mix_epoch) for x in mixing.mix(df, *args).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted((x.doc_id, x.mix_epoch) for x in mixing.mix(df, *args).collect()) == want
+
+
 def test_mixing(spark):
     r = random.Random(6)
     texts = [*ODD, *(words(r, r.randint(1, 60)) for _ in range(300))]
