@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
+#: Chinese, Japanese and Korean characters, with the Japanese marks of length and repetition.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー々]"
+RUN = rf"{UNSPACED}+|[\p{{L}}\p{{N}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}ー々]]+"
 
 
 def strip(c: Column | str) -> Column:
@@ -31,10 +34,19 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
+def _pairs(w: Column) -> Column:
+    return F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
+
+
+def terms(c: Column | str) -> Column:
+    """Words, with neighbouring character pairs in place of runs of a script without spaces between words."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(RUN), F.lit(0))
+    return F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^{UNSPACED}"), _pairs(w)).otherwise(F.array(w))))
+
+
 def bigrams(c: Column | str) -> Column:
     """Neighbouring character pairs of letter and digit runs; single characters stay."""
-    pair = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
-    return F.flatten(F.transform(words(c), pair))
+    return F.flatten(F.transform(words(c), _pairs))
 
 
 def lenient_int(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselode.functions.text import words
+from caselode.functions.text import terms as mixed_terms
 
 
 def postings(docs: DataFrame, doc_id: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
@@ -28,10 +28,11 @@ def idf_lucene(tf: DataFrame, n: DataFrame) -> DataFrame:
     return counted.select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, variant: str = "okapi", k1: float = 1.5, b: float = 0.75, tokens=words) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, variant: str = "okapi", k1: float = 1.5, b: float = 0.75, tokens=mixed_terms) -> DataFrame:
     """(query_id, doc_id, score, rank): ``queries`` (query_id, text) against ``docs`` (doc_id, text); ties to the smaller id.
 
     Only documents that share a term with the query are scored; a repeated query term adds again.
+    Terms are words, and character pairs in Chinese, Japanese and Korean runs.
     """
     tf, dl = postings(docs, "doc_id", tokens("text"))
     stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row

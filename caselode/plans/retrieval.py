@@ -56,6 +56,15 @@ def cjk_bigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.select(F.col("doc_id").alias("item_id"), "term", "tf")
 
 
+@query("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN length(w) > 1 THEN list_transform(range(1, length(w)), lambda i: substring(w, i, 2)) ELSE [w] END) AS term FROM w)
+SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2""")
+def cjk_bigram_document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf, _ = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", T.bigrams("text"))
+    return tf.select("doc_id", "term", "tf")
+
+
 @query("""
 WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
   round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))), 6) AS score

@@ -130,3 +130,16 @@ def test_dense_topk_in_blocks_against_every_other_row(spark):
     for block in (1, 100):
         got = retrieval.dense_topk(q, c, 2, own=False, block=block).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.doc_id) for r in got] == want
+
+
+def test_terms_of_mixed_scripts(spark):
+    assert one(spark, T.terms(F.lit("Take 2x 头痛发热，咳 ABC头痛"))) == ["take", "2x", "头痛", "痛发", "发热", "咳", "abc", "头痛"]
+    assert one(spark, T.terms(F.lit("Don't é naïve-7"))) == one(spark, T.words(F.lit("Don't é naïve-7")))
+
+
+def test_bm25_finds_chinese_inside_a_run(spark):
+    docs = spark.createDataFrame([(1, "患者头痛发热三天"), (2, "患者咳嗽两天"), (3, "plain words")], "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, "头痛"), (2, "words")], "query_id bigint, text string")
+    for variant in ("okapi", "lucene"):
+        got = retrieval.bm25_topk(q, docs, 5, variant=variant).collect()
+        assert sorted((r.query_id, r.doc_id) for r in got) == [(1, 1), (2, 3)]
