@@ -3,18 +3,24 @@
 Base spans follow four fixed patterns and always stay.  High-recall generators propose further, overlapping spans:
 e-mail addresses written out, telephone numbers without a plus sign, cards with odd separators, IBANs, social security numbers
 and IPv6 addresses.  Boosted trees see a candidate's format and context, and a span is added where its probability
-reaches a threshold.  The threshold is calibrated on rows that the trees have not seen, as the least one at which
-``PRECISION`` of the accepted candidates are true; an added span never overlaps a base span or a better added one.
+reaches its kind's threshold.  Thresholds are calibrated on lines that the trees have not seen, as the least margin at
+which ``PRECISION`` of the kind's accepted candidates are true.  Generators see the text with its base spans blanked out, so
+an added span never overlaps a base span; of added ones that overlap, walking by start, the better stays.
 
 There are no labelled spans to learn from, so the trees learn from ``EXAMPLES`` made-up lines, true and false, of fixed
 seed; fitting does not depend on the corpus.  Trees are folded into column expressions.
 
+Sums and choices along a text's matches are made in blocks of a root of their number (``_scan``), so that the
+work stays near the text's length however many matches it has.
+
 Positions are code points, ends exclusive.  Defined results: a null text is empty and has no spans; texts of any length are
-searched whole; repeated rows are separate; an empty table gives no rows; further columns are ignored or passed.
+searched whole; repeated rows are separate; an empty table gives no rows; further columns are passed, but for ``base`` and
+``spans``, which are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 
@@ -53,6 +59,9 @@ NAMES = ["digits", "letters", "length", "marks", "luhn", "word", "not_word", "to
 EXAMPLES, TREES, DEPTH, PRECISION = 2400, 12, 3, 0.99
 CONTEXT = 28
 SPAN = "array<struct<kind:string,start:bigint,stop:bigint,body:string>>"
+PROPOSED = "array<struct<kind:string,start:bigint,stop:bigint,body:string,before:string,after:string>>"
+#: Stands for a base span's characters while generators search; no pattern matches it.
+BLANK = "\u0001"
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,31 +84,78 @@ def _valid(kind: str, body: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _matches(kind: str, pattern: str, text: Column, test: str, shortest: int) -> Column:
-    """All matches with their places: the pieces between matches give the lengths."""
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _blocks(items: Column, width=F.sqrt) -> Column:
+    """An array that isn't empty, cut into blocks whose width is that root of its length."""
+
+    def cut(t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(t["items"]) - 1) / t["width"]).cast("int")), lambda b: F.slice(t["items"], b * t["width"] + 1, t["width"]))
+
+    return _let(items, lambda a: _let(F.struct(a.alias("items"), F.greatest(F.lit(1), F.ceil(width(F.size(a))).cast("int")).alias("width")), cut))
+
+
+def _scan(items: Column, first: Column, step, state: str) -> Column:
+    """The states before each item and, at the end, after the last; ``step`` makes the next state of a state and an item.
+
+    Block by block: a step copies the states of its block only, a block those of the blocks before.
+    """
+    rows, blocks = F.array().cast(f"array<{state}>"), F.array().cast(f"array<array<{state}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        return F.struct(step(acc["at"], item).cast(state).alias("at"), acc["done"].alias("done"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        begun = F.struct(acc["at"].alias("at"), acc["done"].alias("done"), rows.alias("out"))
+        return F.aggregate(part, begun, one, lambda r: F.struct(r["at"].alias("at"), F.concat(r["done"], F.array(r["out"])).alias("done")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.length(pair["0"])
-        stop = at + F.coalesce(F.length(pair["1"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), pair["1"].alias("body"))
-        found = F.when(F.length(pair["1"]) >= shortest, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(stop.cast("bigint").alias("at"), found.alias("found"))
+    begun = F.struct(first.cast(state).alias("at"), blocks.alias("done"))
+    whole = lambda a: F.aggregate(_blocks(a, F.cbrt), begun, block, lambda r: F.concat(F.flatten(r["done"]), F.array(r["at"])))
+    return _let(items, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.array(first.cast(state))))
 
-    zipped = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, b: F.struct(g.alias("0"), b.alias("1")))
-    return F.when(F.rlike(text, F.lit(test)), F.aggregate(zipped, start, step, lambda acc: acc["found"])).otherwise(none)
+
+def _matches(kind: str, pattern: str, text: Column, test: str, shortest: int, context: bool = False) -> Column:
+    """All matches with their places: the pieces between matches give the lengths.
+
+    With ``context``, also up to ``CONTEXT`` characters from the match before on, and the character after.
+    """
+    gaps, bodies = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(t: Column) -> Column:
+        lengths = F.zip_with(t["gaps"], t["bodies"], lambda g, b: F.length(g) + F.coalesce(F.length(b), F.lit(0)))
+        return _let(F.struct(t["gaps"].alias("gaps"), t["bodies"].alias("bodies"), _scan(lengths, F.lit(0), lambda at, n: at + n, "bigint").alias("at")), spans)
+
+    def spans(t: Column) -> Column:
+        def span(body: Column, i: Column) -> Column:
+            start = t["at"][i] + F.length(t["gaps"][i])
+            fields = [F.lit(kind).alias("kind"), start.cast("bigint").alias("start"), (start + F.length(body)).cast("bigint").alias("stop"), body.alias("body")]
+            if context:
+                last = F.when(i > 0, F.right(t["bodies"][F.greatest(i - 1, F.lit(0))], F.lit(CONTEXT))).otherwise("")
+                fields += [F.right(F.concat(last, t["gaps"][i]), F.lit(CONTEXT)).alias("before"), F.left(F.concat(t["gaps"][i + 1], F.coalesce(F.get(t["bodies"], i + 1), F.lit(""))), F.lit(1)).alias("after")]
+            return F.struct(*fields)
+
+        return F.filter(F.transform(t["bodies"], span), lambda s: F.length(s["body"]) >= shortest)
+
+    found = _let(F.struct(gaps.alias("gaps"), bodies.alias("bodies")), placed)
+    return F.when(F.rlike(text, F.lit(test)), found).otherwise(F.array().cast(PROPOSED if context else SPAN))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``base``: the valid base spans of each kind, by start, then kind as listed."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    return _fixed(docs, F.coalesce(F.col(text), F.lit("")), "base")
+
+
+def _fixed(docs: DataFrame, t: Column, name: str) -> DataFrame:
+    """Add the valid matches of the base patterns in ``t``."""
     least = {"email": 4, "ip": 7, "card": 12, "phone": 9}
     for kind, pattern in BASE.items():
         docs = docs.withColumn(f"_{kind}", _matches(kind, pattern, t, MAYBE[kind], least[kind]))
     valid = lambda kind: F.filter(f"_{kind}", lambda s: _valid(kind, s["body"]))
     kept = [valid(kind) for kind in BASE]
-    return docs.withColumn("base", _by_place(F.concat(*kept))).drop(*[f"_{k}" for k in BASE])
+    return docs.withColumn(name, _by_place(F.concat(*kept))).drop(*[f"_{k}" for k in BASE])
 
 
 def _order(kind: Column) -> Column:
@@ -109,20 +165,41 @@ def _order(kind: Column) -> Column:
 def _by_place(spans: Column) -> Column:
     """Sort by start, then kind as listed."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), _order(s["kind"]).alias("o"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
+    return F.when(F.size(spans) > 1, F.transform(F.array_sort(keyed), lambda k: k["s"])).otherwise(spans)
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """``text`` with each of ``spans``, which stand by start, replaced; what overlaps an earlier one goes with it.
+
+    Pieces are cut from their block's part of the text, as a character's place is found by walking to it.
+    """
+
+    def pieces(t: Column) -> Column:
+        made = F.transform(t["spans"], lambda s, i: F.struct(t["at"][i].alias("at"), F.greatest(s["start"], t["at"][i]).alias("upto"), F.greatest(s["stop"], t["at"][i]).alias("stop"), F.when(s["start"] >= t["at"][i], by(s)).otherwise("").alias("label")))
+        return _let(_blocks(made), lambda blocks: F.concat(F.array_join(F.transform(blocks, block), ""), F.substring(text, (F.element_at(t["at"], -1) + 1).cast("int"), F.length(text))))
+
+    def block(part: Column) -> Column:
+        first = part[0]["at"]
+        here = F.substring(text, (first + 1).cast("int"), (F.element_at(part, -1)["stop"] - first).cast("int"))
+        return _let(here, lambda h: F.array_join(F.transform(part, lambda p: F.concat(F.substring(h, (p["at"] - first + 1).cast("int"), (p["upto"] - p["at"]).cast("int")), p["label"])), ""))
+
+    run = F.struct(spans.alias("spans"), _scan(spans, F.lit(0), lambda at, s: F.greatest(at, s["stop"]), "bigint").alias("at"))
+    return F.when(F.size(spans) > 0, _let(run, pieces)).otherwise(text)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``proposed``: what the generators find, with the text before and after."""
+    """Add ``proposed``: what the generators find outside ``base`` spans, with the text before and after.
+
+    Where there is ``base``, ``again`` too: valid matches that a base span had run into, as a telephone number before a card.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.withColumn("_t", _replaced(t, F.col("base"), lambda s: F.repeat(F.lit(BLANK), (s["stop"] - s["start"]).cast("int"))) if "base" in docs.columns else t)
     for i, (kind, pattern, hint) in enumerate(GENERATORS):
-        docs = docs.withColumn(f"_g{i}", _matches(kind, pattern, t, hint, 7))
+        docs = docs.withColumn(f"_g{i}", _matches(kind, pattern, F.col("_t"), hint, 7, context=True))
+    if "base" in docs.columns:
+        docs = _fixed(docs, F.when(F.size("base") > 0, F.col("_t")).otherwise(""), "again")
     every = F.concat(*[F.col(f"_g{i}") for i in range(len(GENERATORS))])
-    with_context = F.transform(
-        every,
-        lambda s: s.withField("before", F.substring(t, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int"))).withField("after", F.substring(t, (s["stop"] + 1).cast("int"), F.lit(1))),
-    )
-    return docs.withColumn("proposed", with_context).drop(*[f"_g{i}" for i in range(len(GENERATORS))])
+    return docs.withColumn("proposed", every).drop("_t", *[f"_g{i}" for i in range(len(GENERATORS))])
 
 
 def features(s: Column) -> dict[str, Column]:
@@ -191,14 +268,14 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> list[tuple[str, int]]:
     return [(f"{w()} {w()} {r.choice(true if i % 2 else false)()} {w()}", i % 2) for i in range(count)]
 
 
-_fitted: dict[str, tuple[list, float]] = {}
+_fitted: dict[str, tuple[list, dict[str, float]]] = {}
 
 
-def _tree(text: str) -> Column:
-    """A tree's printed form as nested conditions."""
+def _tree(text: str):
+    """A tree's printed form as nested (feature, edge, left, right)."""
     lines = [x for x in (line.strip() for line in text.strip().splitlines()) if x]
 
-    def node() -> Column | float:
+    def node():
         line = lines.pop(0)
         if line.startswith("Predict:"):
             return float(line.split(":")[1])
@@ -217,30 +294,46 @@ def _evaluated(node, x: dict[str, Column]) -> Column:
     return F.when(x[NAMES[feature]] <= edge, _evaluated(left, x)).otherwise(_evaluated(right, x))
 
 
-def fitted(spark: SparkSession) -> tuple[list, float]:
-    """Trees with weights, and the calibrated margin; fitted once per application."""
+def threshold(rows: list[tuple[float, float]], precision: float = PRECISION) -> float | None:
+    """The least margin at which ``precision`` of the (margin, label) rows at or above it are true; None where there is none."""
+    rows = sorted(rows, reverse=True)
+    true, least = 0.0, None
+    for i, (m, label) in enumerate(rows, 1):
+        true += label
+        if true / i >= precision and (i == len(rows) or rows[i][0] < m):
+            least = m
+    return least
+
+
+def examples_table(spark: SparkSession, count: int = EXAMPLES, seed: int = 11) -> DataFrame:
+    """(text, label, held) of the made-up lines.  Which lines are held out goes by a hash of the text, apart from the label."""
+    parts = ", ".join(f"('{text}', {label})" for text, label in examples(count, seed))
+    return spark.sql(f"select text, label, pmod(xxhash64(text), 4) = 0 held from values {parts} as t(text, label)").coalesce(1)
+
+
+def fitted(spark: SparkSession) -> tuple[list, dict[str, float]]:
+    """Trees with weights, and each kind's calibrated margin; fitted once per application."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     app = spark.sparkContext.applicationId
     if app in _fitted:
         return _fitted[app]
-    parts = ", ".join(f"('{text}', {label})" for text, label in examples())
-    rows = spark.sql(f"select text, label, monotonically_increasing_id() id from values {parts} as t(text, label)").coalesce(1)
-    seen = candidates(rows).select("id", "label", F.explode("proposed").alias("s"))
-    x = seen.select("id", "label", *[c.alias(n) for n, c in features(F.col("s")).items()])
-    vectors = VectorAssembler(inputCols=NAMES, outputCol="features").transform(x).select("id", F.col("label").cast("double").alias("label"), "features", *NAMES)
-    learn, held = vectors.filter("id % 4 != 0").cache(), vectors.filter("id % 4 = 0").cache()
+    seen = candidates(examples_table(spark)).select("held", "label", F.explode("proposed").alias("s"))
+    x = seen.select("held", "s.kind", "label", *[c.alias(n) for n, c in features(F.col("s")).items()])
+    vectors = VectorAssembler(inputCols=NAMES, outputCol="features").transform(x).select("held", "kind", F.col("label").cast("double").alias("label"), "features", *NAMES)
+    learn, held = vectors.filter("not held").cache(), vectors.filter("held").cache()
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5).fit(learn)
     trees = [(_tree(t.toDebugString.split("\n", 1)[1]), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    got = held.select("label", margin(trees, {n: F.col(n) for n in NAMES}).alias("m")).orderBy(F.desc("m")).collect()  # of the fixed examples
+    got = held.select("kind", margin(trees, {n: F.col(n) for n in NAMES}).alias("m"), "label").collect()  # of the fixed examples
     learn.unpersist()
     held.unpersist()
-    true, least = 0, float("inf")
-    for i, row in enumerate(got, 1):
-        true += int(row.label)
-        if true / i >= PRECISION and row.m > 0:
-            least = row.m
+    least = {}
+    for kind in sorted({k for k, _, _ in GENERATORS}):
+        rows = [(r.m, r.label) for r in got if r.kind == kind]
+        if {label for _, label in rows} != {0.0, 1.0} or (m := threshold(rows)) is None:
+            raise ValueError(f"no threshold for {kind}: {len(rows)} held lines")
+        least[kind] = m
     _fitted[app] = trees, least
     return _fitted[app]
 
@@ -249,16 +342,35 @@ def margin(trees: list, x: dict[str, Column]) -> Column:
     return sum((_evaluated(t, x) * w for t, w in trees), F.lit(0.0))
 
 
+SCORED = "struct<m:double,kind:string,start:bigint,stop:bigint,body:string>"
+
+
+def _chosen(spans: Column) -> Column:
+    """Of spans that stand by start, those left where of two that overlap the better (then the earlier) stays."""
+
+    def step(now: Column, s: Column) -> Column:
+        return F.when(now.isNotNull() & (s["start"] < now["stop"]) & (s["m"] <= now["m"]), now).otherwise(s)
+
+    def last(t: Column) -> Column:
+        # The state after item i stays if the next item doesn't overlap it: it can't be replaced any more.
+        final = lambda s, i: (i == F.size(t["spans"]) - 1) | (F.get(t["spans"], i + 1)["start"] >= s["stop"])
+        return F.filter(F.slice(t["states"], F.lit(2), F.size(t["spans"])), final)
+
+    states = _scan(spans, F.lit(None), step, SCORED)
+    return _let(F.struct(spans.alias("spans"), states.alias("states")), last)
+
+
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``base`` and ``spans`` (base and added), arrays of (kind, start, stop, body)."""
     trees, least = fitted(docs.sparkSession)
     found = candidates(base_spans(docs, text), text)
-    apart = lambda a, b: (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])
-    free = F.filter("proposed", lambda s: ~F.exists("base", lambda b: ~apart(s, b)))
-    scored = F.filter(F.transform(free, lambda s: F.struct((-margin(trees, features(s))).alias("m"), s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["body"].alias("body"))), lambda s: s["m"] <= -least)
-    best = F.aggregate(F.array_sort(scored), F.array().cast(SPAN), lambda acc, s: F.when(F.exists(acc, lambda o: ~apart(o, s)), acc).otherwise(F.concat(acc, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["body"].alias("body"))))))
-    some = found.withColumn("_added", F.when(F.size("proposed") > 0, best).otherwise(F.array().cast(SPAN)))
-    return some.withColumn("spans", F.when(F.size("_added") > 0, _by_place(F.concat("base", "_added"))).otherwise(F.col("base"))).drop("proposed", "_added")
+    scored = F.transform("proposed", lambda s: F.struct(margin(trees, features(s)).alias("m"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["body"].alias("body")))
+    enough = lambda s: functools.reduce(lambda a, b: a | b, [(s["kind"] == k) & (s["m"] >= m) for k, m in least.items()])
+    sure = F.transform("again", lambda s: F.struct(F.lit(1e9).alias("m"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["body"].alias("body")))
+    by_start = F.array_sort(F.transform(F.concat(sure, F.filter(scored, enough)), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s.alias("s"))))
+    best = _let(F.transform(by_start, lambda k: k["s"]), lambda spans: F.transform(_chosen(spans), lambda s: s.dropFields("m")).cast(SPAN))
+    some = found.withColumn("_added", F.when(F.size("proposed") + F.size("again") > 0, best).otherwise(F.array().cast(SPAN)))
+    return some.withColumn("spans", F.when(F.size("_added") > 0, _by_place(F.concat("base", "_added"))).otherwise(F.col("base"))).drop("proposed", "again", "_added")
 
 
 def joined(spans: str) -> Column:
@@ -267,17 +379,10 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans are replaced as one."""
-    t = F.col(text)
-    found = find_spans(docs, text)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(t, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).cast("bigint").alias("at"), new.alias("out"))
-
-    parts = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, parts).otherwise(t)).drop("base", "spans")
+    label = lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))
+    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    new = find_spans(inner, "_text").withColumn("_text", _replaced(F.col("_text"), F.col("spans"), label))
+    return new.select(*[F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
