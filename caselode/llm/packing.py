@@ -2,8 +2,9 @@
 
 Hierarchical residual packing.  Every partition packs its own pieces best-fit decreasing, block by block, and emits the
 bins that are nearly full.  Bins left underfull become items: partitions are merged ``fan_in`` to one and their
-items packed best-fit again, until one partition is left, which emits everything.  Only the residue is shuffled, and it
-shrinks each round.  No step holds more than ``block_rows`` pieces (plus one bin) in memory.
+items packed best-fit again.  A bin whose room is less than the smallest item left is emitted where it is, as nothing can
+fill it any more.  Merging ends with one partition, or once rounds hardly save a bin; then what is left is emitted where it is.
+A merged partition holds about ``block_rows`` items at most, which is also the most pieces (plus one bin) in memory.
 
 Defined results: a null or empty text is a document of the end token alone; only documents over ``capacity`` are cut;
 repeated rows are separate documents; an empty table gives no rows; further columns of the input are ignored.
@@ -24,7 +25,9 @@ from caselode.llm.common import table, written
 from caselode.llm.tokens import chunk_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", item_id long, offset long, done boolean"
+#: A round that leaves more than this share of its bins, in as many partitions, is the last.
+SAVING = 0.99
+PACKED = PIECES + ", item_id long, offset long, done boolean, fill long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -96,8 +99,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, near_full: float = 0.995, fan_
                 ids = (np.int64(level) << 56) + (np.int64(part) << 32) + made + np.arange(len(fills))
                 made += len(fills)
                 cols = [t.column(n).combine_chunks() for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
-                more = [pa.array(ids[bins][index]), pa.array(base[index] + (at if level else 0)), pa.array((fills >= full)[bins][index])]
-                return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols] + more, names=["doc_id", "piece", "start", "length", "ids_crc32", "item_id", "offset", "done"])
+                more = [pa.array(ids[bins][index]), pa.array(base[index] + (at if level else 0)), pa.array((fills >= full)[bins][index]), pa.array(fills[bins][index])]
+                return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols] + more, names=["doc_id", "piece", "start", "length", "ids_crc32", "item_id", "offset", "done", "fill"])
 
             held: list[pa.RecordBatch] = []
             rows = 0
@@ -121,19 +124,24 @@ def pack(pieces: DataFrame, capacity: int = 4096, near_full: float = 0.995, fan_
 
         return run
 
-    spark = pieces.sparkSession
     level, parts = 0, max(1, pieces.rdd.getNumPartitions())
     now = pieces.select(*[c.split()[0] for c in PIECES.split(", ")], F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("offset"))
-    done = []
+    done, before = [], None
     while True:
         last = parts == 1
         out = written(now.mapInArrow(packer(level, last), PACKED), f"pack-{level}")
-        done.append(out.filter("done"))
-        if last:
+        # Bins left by fill, a row for each fill; a bin's first piece stands for it.
+        fills = {r.fill: r["count"] for r in out.filter("not done and offset = 0").groupBy("fill").count().collect()}
+        # Where even the smallest item left has no place, a bin is as full as it can be.
+        room = capacity - min(fills, default=0)
+        bins = sum(n for fill, n in fills.items() if fill <= room)
+        fewer = max(-(-parts // fan_in), -(-bins // block_rows))
+        if last or not bins or (before is not None and fewer >= parts and bins > SAVING * before):
+            done.append(out)
             break
-        level, parts = level + 1, -(-parts // fan_in)
-        group = F.floor(F.shiftright(F.col("item_id").bitwiseAND((1 << 56) - 1), 32) / fan_in)
-        now = out.filter("not done").drop("done").repartitionByRange(parts, group).sortWithinPartitions("item_id", "offset")
+        done.append(out.filter(F.col("done") | (F.col("fill") > room)))
+        level, parts, before = level + 1, fewer, bins
+        now = out.filter(~F.col("done") & (F.col("fill") <= room)).drop("done", "fill").repartitionByRange(parts, "item_id").sortWithinPartitions("item_id", "offset")
     whole = done[0]
     for d in done[1:]:
         whole = whole.unionByName(d)
