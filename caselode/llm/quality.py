@@ -8,8 +8,8 @@ their sizes explain, so sparse sites stay near their parents.  A document's log-
 Fitting reads at most ``MAX_LEARN`` labelled rows, picked by the hash of their id; scoring and the site statistics cover every
 document.
 
-Defined results: null and empty texts are kept out (score 0, not kept); null hosts or paths are sites of their own;
-repeated rows score alike; without labels of both kinds every text that isn't empty is kept; further columns are passed.
+Defined results: null, empty and blank texts are kept out (score 0, not kept); null hosts or paths are sites of their own;
+repeated rows score alike; a text with labels of both kinds counts as bad; without labels of both kinds every text that isn't empty is kept; further columns are passed.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def _inputs(df: DataFrame) -> list[Column]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LEARN) -> list[float] | None:
-    picked = labels.filter("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).dropDuplicates(["doc_id"])
+    picked = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumns(shape()).select("quality", *[c.cast("double").alias(f"x{i}") for i, c in enumerate(_inputs(docs))]).toPandas()
     x, y = rows.drop(columns="quality").to_numpy(), rows["quality"].to_numpy()
     if len(set(y)) < 2:
@@ -77,16 +77,28 @@ def _shrinkage(sites: DataFrame, parent: Column) -> float:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """``docs`` with ``quality_score`` and ``keep``."""
-    has_text = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    """``docs`` with ``quality_score`` and ``keep``; input columns of these two names are replaced."""
+    # The input row travels as one column, so that none of its names can clash with those used here.
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("quality_score", "keep")]).alias("_in"), F.col("text").alias("_text"), F.col(host).alias("_host"), F.col(path).alias("_path"))
+    has_text = F.rlike(F.coalesce("_text", F.lit("")), F.lit(r"\S"))
     w = fit(docs, labels)
     if w is None:
-        return docs.withColumn("quality_score", F.when(has_text, 1.0).otherwise(0.0)).withColumn("keep", has_text)
-    shaped = docs.select("*", *[c.alias(f"_{k}") for k, c in shape().items()])
+        return rows.select("_in.*", F.when(has_text, 1.0).otherwise(0.0).alias("quality_score"), has_text.alias("keep"))
+    shaped = rows.select("*", *[c.alias(f"_{k}") for k, c in shape("_text").items()])
     line = sum((c * float(v) for c, v in zip([F.col(f"_{k}") for k in SHAPE] + [F.sqrt(f"_{k}") for k in SHAPE[:4]], w, strict=False)), F.lit(float(w[-1])))
-    scored = written(shaped.withColumn("_p", F.when(has_text, 1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))))).otherwise(0.0)).drop(*[f"_{k}" for k in SHAPE]), "quality")
+    scored = written(shaped.withColumn("_p", F.when(has_text, 1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))))).otherwise(0.0)).select("_in", "_host", "_path", "_p"), "quality")
 
-    paths = written(scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.sum("_p").alias("s"), F.count("*").alias("n")), "paths")
+    sites, overall = site_means(scored)
+    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_q")), "left")
+    odds = _odds(F.col("_p")) + SITE_WEIGHT * (_odds(F.col("_site")) - _odds(F.lit(overall)))
+    score = F.when(F.col("_p") > 0, 1 / (1 + F.exp(-odds))).otherwise(0.0)
+    return joined.select("_in.*", score.alias("quality_score"), (score >= 0.5).alias("keep"))
+
+
+def site_means(scored: DataFrame) -> tuple[DataFrame, float]:
+    """(_h, _q, _site) of each host and path, and the mean of all, from (_host, _path, _p) of every document."""
+    paths = written(scored.groupBy("_host", "_path").agg(F.sum("_p").alias("s"), F.count("*").alias("n")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     overall = float(total.s / total.n) if total.n else 0.5
@@ -94,11 +106,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     hosts = hosts.select(F.col("_host").alias("_of"), ((F.col("s") + k * overall) / (F.col("n") + k)).alias("_host_mean"))
     inner = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).drop("_of")
     k = _shrinkage(inner, F.col("_host_mean"))
-    sites = inner.select(F.col("_host").alias("_h"), F.col("_path").alias("_q"), ((F.col("s") + k * F.col("_host_mean")) / (F.col("n") + k)).alias("_site"))
-    sites = F.broadcast(sites) if paths.count() <= BROADCAST_SITES else sites
-    joined = scored.join(sites, scored[host].eqNullSafe(F.col("_h")) & scored[path].eqNullSafe(F.col("_q")), "left")
-    odds = _odds(F.col("_p")) + SITE_WEIGHT * (_odds(F.col("_site")) - _odds(F.lit(overall)))
-    return joined.withColumn("quality_score", F.when(F.col("_p") > 0, 1 / (1 + F.exp(-odds))).otherwise(0.0)).withColumn("keep", F.col("quality_score") >= 0.5).drop("_p", "_h", "_q", "_site")
+    return written(inner.select(F.col("_host").alias("_h"), F.col("_path").alias("_q"), ((F.col("s") + k * F.col("_host_mean")) / (F.col("n") + k)).alias("_site")), "sites"), overall
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
