@@ -234,11 +234,12 @@ def _spread(features: np.ndarray, count: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict | None:
     """The model, from (doc_id, text) and the learning rows of (doc_id, toxic); None if one kind is missing."""
+    single = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = None
     for kind, most in ((1, max_toxic), (0, max_clean)):
-        some = labels.filter(F.col("toxic") == kind).select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = single.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    texts = written(docs.select("doc_id", "text").join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id"), "toxic-learn")
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-learn")
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
