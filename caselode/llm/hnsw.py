@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.llm.common import table, written
-from caselode.llm.vectors import collapsed, finite, top_k
+from caselode.llm.vectors import SPREAD, collapsed, finite, shards_for, top_k
 
 INDEX = "shard string, dim int, nodes long, vectors binary, ids array<array<long>>, levels array<struct<members:binary,neighbours:binary,width:int>>"
 
@@ -184,7 +184,7 @@ class Graph:
         return np.where(found[:, :k] >= 0, members[np.maximum(found[:, :k], 0)], -1)
 
 
-def build_index(vectors: DataFrame, shards: int, k: int, m: int = 16, ef_build: int = 64) -> DataFrame:
+def build_index(vectors: DataFrame, shards: int, k: int, m: int = 16, ef_build: int = 96) -> DataFrame:
     """The stored index of (id, vec), a row per shard, written to the shared folder."""
     nodes = collapsed(vectors.select("id", "vec").filter(finite("vec", False)), "id", "vec", k + 1)
     placed = nodes.withColumn("shard", F.concat_ws("-", F.size("vec"), F.pmod(F.xxhash64("vec"), F.lit(shards))))
@@ -198,10 +198,10 @@ def build_index(vectors: DataFrame, shards: int, k: int, m: int = 16, ef_build:
         schema = pa.schema([("shard", pa.string()), ("dim", pa.int32()), ("nodes", pa.int64()), ("vectors", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64()))), ("levels", pa.list_(pa.struct([("members", pa.binary()), ("neighbours", pa.binary()), ("width", pa.int32())])))])
         return pa.Table.from_pylist([{"shard": key[0].as_py(), "dim": vectors64.shape[1], "nodes": n, "vectors": vectors64.tobytes(), "ids": batch.column("ids").to_pylist(), "levels": levels}], schema=schema)
 
-    return written(placed.repartition(shards, "shard").groupBy("shard").applyInArrow(run, INDEX), "hnsw")
+    return written(placed.repartition(SPREAD * shards, "shard").groupBy("shard").applyInArrow(run, INDEX), "hnsw")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = 96, block: int = 256) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = 192, block: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of each (id, vec) query's k nearest, its own id left out."""
     shards = index.select("shard", "dim")
     valid = queries.select("id", "vec").filter(finite("vec", False)).dropDuplicates(["id"])
@@ -209,7 +209,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = 96, blo
     visits = valid.join(F.broadcast(shards), F.size("vec") == F.col("dim")).select("shard", "id", F.col("vec").cast("array<double>").alias("vec"))
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("nodes", "long"), ("vectors", "binary"), ("ids", "array<array<long>>"), ("levels", index.schema["levels"].dataType))]
     stream = index.select("shard", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vec"), "nodes", "vectors", "ids", "levels").unionByName(visits.select("shard", "id", "vec", *empty))
-    count = max(1, index.count())
+    count = SPREAD * max(1, index.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = vectors = ids = None
@@ -249,8 +249,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = 96, blo
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each twentieth vector's 20 nearest; a shard holds up to about 50,000 vectors."""
+    """Each twentieth vector's 20 nearest."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    shards = max(12, -(-vectors.count() // 50_000))
-    index = build_index(vectors, shards, 20)
+    index = build_index(vectors, shards_for(vectors.filter(finite("vec", False)), "vec"), 20)
     return search_index(index, vectors.filter("id % 20 = 0"), 20)

@@ -8,7 +8,8 @@ Processing stops only when that proof leaves few nodes, or all segments are done
 
 Defined results: vectors that are null or hold null or non-finite components take no part; zero vectors do; equal vectors
 are one node with its smallest ids; vectors meet only vectors of their own dimension; repeated rows with one id count
-once; an empty table gives no rows; further columns are ignored.
+once; components and scores past 64 bits are held to a long's range; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.llm.common import table, written
-from caselode.llm.vectors import collapsed, finite, top_k
+from caselode.llm.vectors import SPREAD, collapsed, finite, shards_for, top_k
 
 INDEX = "shard string, dim int, nodes long, vectors binary, ids array<array<long>>, postings binary, seg_dim binary, seg_start binary, seg_low binary, seg_high binary"
 
@@ -49,6 +50,10 @@ def build_segments(v: np.ndarray, levels: int = 24) -> dict[str, np.ndarray]:
 def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k: int, portions: int = 6, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Every node whose exact score may be among the k best, with its score."""
     n, d = v.shape
+    if n and d * float(np.abs(v.astype(float)).max()) * float(np.abs(q.astype(float)).max()) >= 2.0**62:
+        # Past 64 bits no bound can be drawn in machine numbers: all nodes, in Python's integers, held to a long's range.
+        exact = v.astype(object) @ q.astype(object)
+        return np.arange(n), np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact], object)
     gain = np.maximum(q[seg["seg_dim"]] * seg["seg_low"], q[seg["seg_dim"]] * seg["seg_high"])
     lengths = np.diff(seg["seg_start"])
     order = np.argsort(-gain, kind="stable")
@@ -89,7 +94,7 @@ def build_index(vectors: DataFrame, shards: int, k: int) -> DataFrame:
         row = {"shard": key[0].as_py(), "dim": v.shape[1], "nodes": len(v), "vectors": v.tobytes(), "ids": batch.column("ids").to_pylist()} | {c: a.tobytes() for c, a in build_segments(v).items()}
         return pa.Table.from_pylist([row], schema=pa.schema(list(zip(names, kinds, strict=True))))
 
-    return written(placed.repartition(shards, "shard").groupBy("shard").applyInArrow(run, INDEX), "impact")
+    return written(placed.repartition(SPREAD * shards, "shard").groupBy("shard").applyInArrow(run, INDEX), "impact")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -98,7 +103,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     visits = valid.join(F.broadcast(index.select("shard", "dim")), F.size("vec") == F.col("dim")).select("shard", "id", "vec")
     own = [c.strip().split()[0] for c in INDEX.split(", ") if not c.strip().startswith(("shard", "dim"))]
     stream = index.select("shard", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<bigint>").alias("vec"), *own).unionByName(visits.select("*", *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in own]))
-    count = max(1, index.count())
+    count = SPREAD * max(1, index.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = seg = ids = None
@@ -125,8 +130,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fiftieth vector's 5 highest scores over vectors of floor(256 x); a shard holds up to about 50,000 vectors."""
+    """Each fiftieth vector's 5 highest scores over vectors of floor(256 x)."""
     raw = table(spark, sf_dir, "embeddings").filter(finite("embedding", True))
     vectors = raw.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vec"))
-    shards = max(12, -(-raw.count() // 50_000))
-    return search_index(build_index(vectors, shards, 5), vectors.filter("id % 50 = 0"), 5)
+    return search_index(build_index(vectors, shards_for(vectors, "vec"), 5), vectors.filter("id % 50 = 0"), 5)

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 8
+#: A shard's vectors: at most so many, and at most about so many bytes of doubles.
+SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 8192, 64 << 20, 12
+#: Shards go to tasks by hash, over so many times as many tasks, so that few tasks get two.
+SPREAD = 4
+
+
+def shards_for(vectors: DataFrame, vec: str) -> int:
+    """How many shards hold ``vectors``, by rows and by bytes."""
+    got = vectors.agg(F.count("*").alias("n"), F.sum(F.size(vec).cast("long")).alias("components")).first()
+    return max(LEAST_SHARDS, -(-got.n // SHARD_ROWS), -(-8 * (got.components or 0) // SHARD_BYTES))
 
 
 def finite(v: str, zero_ok: bool) -> Column:
