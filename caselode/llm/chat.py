@@ -28,9 +28,9 @@ from caselode.llm.common import table, written
 LAYOUTS: dict[str, dict] = {
     "turn": {"turns": [(None, ".role", ".text")]},
     "role_content": {"turns": [(None, ".role", ".content")]},
-    "messages": {"turns": [("messages", ".role", ".content")]},
-    "messages_text": {"turns": [("messages", ".role", ".text")]},
-    "from_value": {"turns": [("conversations", ".from", ".value")]},
+    "messages": {"roles": "named", "turns": [("messages", ".role", ".content")]},
+    "messages_text": {"roles": "named", "turns": [("messages", ".role", ".text")]},
+    "from_value": {"roles": "named", "turns": [("conversations", ".from", ".value")]},
     "prompt_completion": {"turns": [(None, "user", ".prompt"), (None, "assistant", ".completion")]},
     "prompt_response": {"turns": [(None, "user", ".prompt"), (None, "assistant", ".response")]},
     "system_prompt_response": {"turns": [(None, "system", ".system"), (None, "user", ".prompt"), (None, "assistant", ".response")]},
@@ -38,6 +38,7 @@ LAYOUTS: dict[str, dict] = {
     "instruction_output": {"turns": [(None, "user", ".instruction"), (None, "assistant", ".output")]},
     "instruction_input_output": {"turns": [(None, "user", ".instruction+.input"), (None, "assistant", ".output")]},
 }
+#: Other names of roles, in the layouts whose roles are "named"; the rest keep roles as given.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 OPTIONAL = ("id", "source", "metadata")
 #: Strings that act as control in this or other chat templates; a backslash goes after their first character.
@@ -82,8 +83,8 @@ def canonical_turns(record: dict) -> list[tuple[str, str]] | None:
     out = []
     for where, role, text in layout["turns"]:
         for item in record[where] if where else [record]:
-            name = value(item, role) or "user"
-            out.append((ROLES.get(name, name), value(item, text)))
+            name = "user" if role.startswith(".") and item.get(role[1:]) is None else value(item, role)
+            out.append((ROLES.get(name, name) if layout.get("roles") else name, value(item, text)))
     return out
 
 
@@ -185,6 +186,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the conversation -1 of control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    more = spark.sql("select -1L conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
-    records = rows.unionByName(more).select("conv_id", "turn", F.to_json(F.struct(F.coalesce("role", F.lit("user")).alias("role"), "text")).alias("record"))
+    records = rows.select("conv_id", "turn", F.to_json(F.struct(F.coalesce("role", F.lit("user")).alias("role"), "text")).alias("record"))
+    # A record of another layout: both turns in one.
+    more = spark.sql("select -1L conv_id, 0L turn, to_json(struct(t.said as prompt, t.said as completion)) record from values ('</s>[INST] ok [/INST]') as t(said)")
+    records = records.unionByName(more)
     return digests(written(format_turns(to_turns(records)), "chat"))
