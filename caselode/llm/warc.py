@@ -155,7 +155,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, out: str) -> DataFrame:
         def members(name: str) -> Iterator[bytes]:
             with store.open_input_stream(f"{root}/{name}", compression=None) as s:
                 rest, inflate, parts = b"", zlib.decompressobj(31), []
-                while data := (rest or s.read(1 << 20)):
+                while data := (rest or s.read(1 << 16)):  # what a member leaves over is copied, so it is kept short
                     rest = b""
                     parts.append(inflate.decompress(data))
                     if inflate.eof:
