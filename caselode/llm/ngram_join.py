@@ -9,6 +9,7 @@
    text of a family), and in each group every member meets the least one.  Verified links make components.
 4. Rest: buckets that still hold members of several components are expanded, and every pair of members in different
    components that passes the size, position and bitmap bounds (each a proof, none a guess) is verified.
+   Before sets are compared, pairs must pass a bitmap as wide as their sets are large, so that few sets are ever sent.
    Pairs inside one component cannot change a result and are never made, so a family of k copies costs about k pairs.
 
 Defined results: null or empty texts have no shingles and link with nothing; texts of fewer words than a shingle are one
@@ -29,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselode.llm.common import kept, table, written
+from caselode.llm.common import drop_written, kept, table, written
 from caselode.llm.components import connected_components
 from caselode.llm.shingles import shingle_set
 
-SKETCH_BITS = 20
-CHUNK = 4096
+#: Hashed counts, 16 MB as ranks whatever the corpus holds, and those in one row on their way.
+SKETCH_BITS = 24
+CHUNK = 65_536
 SCANNED = "doc_id long, key long, n_shingles long, member binary, chunk int, counts binary"
-PREFIXED = "member binary, grp binary, n_shingles long, b0 long, b1 long, b2 long, b3 long, tokens array<long>, places array<int>"
+PREFIXED = "member binary, grp binary, n_shingles long, b0 long, b1 long, b2 long, b3 long, wide binary, tokens array<long>, places array<int>"
 #: The most rows of (key, member) sent to every executor, about 40 MB; beyond it the texts are shuffled instead.
 BROADCAST_ROWS = 1_000_000
 #: Member keys that a task remembers to skip copies; later copies are emitted again and dropped after the shuffle.
@@ -52,27 +54,35 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Which counts there are, a bit each, then those less one, a byte each, ending at 255; deflated."""
+    there = counts > 0
+    return zlib.compress(np.packbits(there).tobytes() + np.minimum(counts[there] - 1, 255).astype(np.uint8).tobytes(), 1)
+
+
+def unpacked_counts(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(zlib.decompress(packed), np.uint8)
+    counts = np.unpackbits(data[: CHUNK // 8]).astype(np.int64)
+    counts[counts > 0] += data[CHUNK // 8 :]
+    return counts
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         names = [c.split()[0] for c in SCANNED.split(", ")]
         for batch in batches:
-            sizes, keys, held, rows = [], [], [], 0
+            sizes, keys = [], []
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), n)
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                held.append(s)
-                rows += len(s)
-                if rows > 2_000_000:
-                    total += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=len(total))
-                    held, rows = [], 0
-            if rows:
-                total += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=len(total))
+                np.add.at(total, (s & mask).astype(np.int64), 1)
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        parts = [(i, zlib.compress(total[i * CHUNK : (i + 1) * CHUNK].tobytes(), 1)) for i in range(len(total) // CHUNK) if total[i * CHUNK : (i + 1) * CHUNK].any()]
+        chunks = total.reshape(-1, CHUNK)
+        parts = [(int(i), packed_counts(chunks[i])) for i in np.flatnonzero(chunks.any(1))]
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
 
@@ -80,13 +90,13 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _commonness(scanned: DataFrame) -> np.ndarray:
-    """Rank of each hashed count, a byte each: 1 MB whatever the corpus holds."""
+    """Rank of each hashed count, a byte each: 16 MB whatever the corpus holds."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+                got = unpacked_counts(counts.as_py())
                 sums[chunk] = sums[chunk] + got if chunk in sums else got
         ranks = {c: np.minimum(255, 8 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for c, v in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(ranks), pa.int32()), pa.array(list(ranks.values()), pa.binary())], names=["chunk", "ranks"])
@@ -97,6 +107,24 @@ def _commonness(scanned: DataFrame) -> np.ndarray:
     return ranks
 
 
+def wide_bits(s: np.ndarray) -> bytes:
+    """Parity bitmap of a set, two to four bits for each shingle and 256 at least."""
+    width = 256
+    while width < 2 * len(s):
+        width *= 2
+    return np.packbits(np.bincount(((s >> np.uint64(28)) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Different bits of two bitmaps, the wider one folded to the other's width; sets differ by at least as many shingles."""
+    x, y, n, m = int.from_bytes(a), int.from_bytes(b), 4 * len(a), 4 * len(b)
+    while n > m:
+        x, n = (x >> n) ^ (x & ((1 << n) - 1)), n // 2
+    while m > n:
+        y, m = (y >> m) ^ (y & ((1 << m) - 1)), m // 2
+    return (x ^ y).bit_count()
+
+
 def size_classes(size: int, num: int, den: int) -> range:
     """The classes in which a set meets its partners: its own, and further ones up to its largest partner's."""
     span = CLASS_SPAN * np.log(den / num)
@@ -104,7 +132,8 @@ def size_classes(size: int, num: int, den: int) -> range:
 
 
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    mean = float((2.0 ** (ranks / 8.0) - 1).mean())
+    seen = sum(np.bincount(ranks[at : at + CHUNK], minlength=256) for at in range(0, len(ranks), CHUNK))
+    mean = float(seen @ (2.0 ** (np.arange(256) / 8.0) - 1)) / len(ranks)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, min(255, int(8 * np.log2(1 + HOT_ROWS + 4 * mean)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +148,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) ->
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o[4] for o in out]).view(np.int64)))
             places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o[5] for o in out])))
             cols = [pa.array([o[i] for o in out], k) for i, k in ((0, pa.binary()), (1, pa.binary()), (2, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)), tokens, places], names=names)
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)), pa.array([o[6] for o in out], pa.binary()), tokens, places], names=names)
 
         for batch in batches:
             out: list = []
@@ -140,7 +169,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) ->
                 few = len(s) - -(-2 * num * len(s) // (num + den)) + 1
                 tokens = np.concatenate([prefix + CLASS_STEP * np.uint64(own), *(prefix[:few] + CLASS_STEP * np.uint64(c) for c in larger)])
                 places = np.concatenate([place, *(place[:few] for _ in larger)])
-                out.append((member, group, len(s), np.packbits(flips.astype(np.uint8)).view(np.int64), tokens, places))
+                out.append((member, group, len(s), np.packbits(flips.astype(np.uint8)).view(np.int64), tokens, places, wide_bits(s)))
                 if len(out) >= 2000:
                     yield flush(out)
                     out = []
@@ -178,10 +207,36 @@ def _paired(light: DataFrame, num: int, den: int) -> DataFrame:
     return seen.withColumn("_below", below).filter(F.col("_up") | (F.col("_below") * den >= F.col("n") * num)).select("token", "m", "place")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of members that do link.  Sets are made anew for the members in pairs only."""
-    pairs = written(pairs.select("u", "v").distinct(), "pairs")
-    needed = written(owners.join(pairs.select(F.col("u").alias("member")).unionByName(pairs.select(F.col("v").alias("member"))).distinct(), "member"), "needed")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("member")).unionByName(pairs.select(F.col("v").alias("member"))).distinct()
+
+
+def _close(pairs: DataFrame, prefixed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the wide bitmaps leave possible."""
+    spark = pairs.sparkSession
+    ends = written(_ends(pairs), "ends")
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    wide = prefixed.select("member", "n_shingles", "wide").join(few, "member").dropDuplicates(["member"])
+    a, b = (wide.select(F.col("member").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "uv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("nu").to_pylist(), batch.column("nv").to_pylist(), strict=True)
+            keep = [bits_apart(x.as_py(), y.as_py()) * (num + den) <= (k + m) * (den - num) for x, y, (k, m) in zip(batch.column("wu"), batch.column("wv"), sizes, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    close = written(pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "wu", "wv").mapInArrow(run, "u binary, v binary"), "close")
+    drop_written(ends, spark)
+    return close
+
+
+def _verified(pairs: DataFrame, prefixed: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of members that do link.  Sets are made anew for the members in close pairs only."""
+    spark = docs.sparkSession
+    met = written(pairs.select("u", "v").distinct(), "pairs")
+    pairs = _close(met, prefixed, num, den)
+    drop_written(met, spark)
+    needed = written(owners.join(_ends(pairs), "member"), "needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # repeated rows have one key: their set is made once in a task
@@ -215,6 +270,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, num:
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
     links = written(both.filter(F.col("common") * (den + num) >= (F.size("su") + F.size("sv")) * num).select("u", "v"), "links")
     sets.unpersist()
+    drop_written(pairs, spark)
+    drop_written(needed, spark)
     return links
 
 
@@ -239,7 +296,7 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     star = met.filter("a_member != b_member").filter(_may_link("a_", "b_", num, den)).select(F.col("a_member").alias("u"), F.col("b_member").alias("v"))
     heads = buckets.groupBy("grp").agg(F.min("member").alias("v"), F.max("member").alias("w")).filter("v != w").select("grp", "v")
     inside = buckets.select("grp", F.col("member").alias("u")).distinct().join(heads, "grp").filter("u != v").select("u", "v")
-    links = _verified(star.unionByName(inside), docs, owners, n, num, den)
+    links = _verified(star.unionByName(inside), prefixed, docs, owners, n, num, den)
     labels = written(connected_components(links), "labels")
 
     # Rest: buckets with members of several components.
@@ -250,13 +307,15 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     b = open_.select(*[F.col(c).alias(f"b_{c}") for c in ("token", "member", "label", "major", "pos", "n_shingles", "b0", "b1", "b2", "b3")])
     once = (F.col("b_label") == F.col("b_major")) | (F.col("a_member") < F.col("b_member"))
     rest = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", num, den))
-    more = _verified(rest.select(F.col("a_member").alias("u"), F.col("b_member").alias("v")), docs, owners, n, num, den)
+    more = _verified(rest.select(F.col("a_member").alias("u"), F.col("b_member").alias("v")), prefixed, docs, owners, n, num, den)
     final = written(connected_components(links.unionByName(more)), "labels")
 
     whole = rows.join(final.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
     whole = written(whole.select("doc_id", "key", "n_shingles", "label"), "labelled")
     for df in (scanned, prefixed):
         df.unpersist()
+    for df in (buckets, open_, links, more, labels, final):
+        drop_written(df, docs.sparkSession)
     return whole
 
 
