@@ -41,7 +41,8 @@ def _pairs(w: Column) -> Column:
 def terms(c: Column | str) -> Column:
     """Words, with neighbouring character pairs in place of runs of a script without spaces between words."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(RUN), F.lit(0))
-    return F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^{UNSPACED}"), _pairs(w)).otherwise(F.array(w))))
+    # Without such a script the runs are the words.
+    return F.when(~F.rlike(F.lower(c), F.lit(UNSPACED)), words(c)).otherwise(F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^{UNSPACED}"), _pairs(w)).otherwise(F.array(w)))))
 
 
 def bigrams(c: Column | str) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from caselode.functions.text import terms as mixed_terms
 
 
+#: Terms of all queries, repeats across queries counted, that one broadcast holds.
+BROADCAST_TERMS = 50_000
+
+
 def postings(docs: DataFrame, doc_id: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(term, doc_id, tf) and (doc_id, dl).  Counts are combined before the shuffle on (term, doc)."""
     tokened = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("tokens"))
@@ -16,15 +20,15 @@ def postings(docs: DataFrame, doc_id: str, tokens: Column) -> tuple[DataFrame, D
     return tf, tokened.select("doc_id", F.size("tokens").cast("long").alias("dl"))
 
 
-def idf_okapi(tf: DataFrame, n: Column, epsilon: float = 0.25) -> DataFrame:
-    """ln((N - df + .5) / (df + .5)); negative ones become ``epsilon`` times the mean of all."""
-    raw = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+def idf_okapi(df: DataFrame, n: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """ln((N - df + .5) / (df + .5)) of (term, df); negative ones become ``epsilon`` times the mean of all."""
+    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def idf_lucene(tf: DataFrame, n: DataFrame) -> DataFrame:
-    counted = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+def idf_lucene(df: DataFrame, n: DataFrame) -> DataFrame:
+    counted = df.crossJoin(F.broadcast(n))
     return counted.select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
@@ -34,13 +38,21 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, variant: str = "okapi
     Only documents that share a term with the query are scored; a repeated query term adds again.
     Terms are words, and character pairs in Chinese, Japanese and Korean runs.
     """
-    tf, dl = postings(docs, "doc_id", tokens("text"))
-    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    n = stats.select("n")
-    idf = idf_okapi(tf, n) if variant == "okapi" else idf_lucene(tf, n)
     terms = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = terms.select("term").distinct()
+    few = terms.count() <= BROADCAST_TERMS
+    asked = F.broadcast(asked) if few else asked
+    tokened = docs.select("doc_id", tokens("text").alias("tokens"))
+    stats = tokened.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
+    seen = tokened.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    # Only terms that are asked for go on, but for Okapi's mean, which is over all.
+    df = (seen if variant == "okapi" else seen.join(asked, "term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = (idf_okapi if variant == "okapi" else idf_lucene)(df, stats.select("n")).join(asked, "term")
+    held = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term")
+    tf = held.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     gain = (k1 + 1) if variant == "okapi" else 1.0
-    hit = terms.join(idf, "term").join(tf, "term").join(dl, "doc_id").crossJoin(F.broadcast(stats.select("avgdl")))
+    weighed = terms.join(idf, "term")
+    hit = tf.join(F.broadcast(weighed) if few else weighed, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * gain / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, k, "doc_id")

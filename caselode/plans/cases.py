@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +59,12 @@ def import_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Rows numbered from 1 over the whole table's order, without gathering it in one task.
 
-    A range sort gives ordered partitions; their row counts, one per partition, give each partition's first number.
+    A range sort gives ordered partitions; their row counts, one per partition, give each partition's first number.  The
+    dealt rows are kept on disk, so that counts and numbers see the same partitions.
     """
-    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    dealt = dealt.withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    dealt = dealt.withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1)).persist(StorageLevel.DISK_ONLY)
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("_before"))
     return dealt.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_m", "_i", "_before")

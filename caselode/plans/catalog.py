@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caselode.plans import cases, encoding, evaluation, generation, graphs, ranking, retrieval, scoring, serving, streams  # noqa: F401
+from caselode.plans import cases, encoding, evaluation, generation, graphs, ranking, records, retrieval, scoring, serving, streams, texts  # noqa: F401
 from caselode.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

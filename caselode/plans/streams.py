@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from caselode.plans.registry import query
 from caselode.sources.tables import table
-from caselode.streaming.windows import windowed_counts
+from caselode.streaming.windows import remaining, windowed_counts
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums; the same function runs on a stream with a watermark."""
     return windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.value > 50 AND d.user_id = e.user_id AND d.event_type = e.event_type)")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose user and type have no finished event yet: what a resumed stream hands on, here of the batch table."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return remaining(events, events.filter("value > 50"), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")

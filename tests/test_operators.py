@@ -107,9 +107,9 @@ def test_scorers_read_whole_vectors_and_all_symptoms(spark, tmp_path):
     cases = {1: [2, 502], 2: [2, 3]}
     spark.createDataFrame([(c, s) for c, ids in cases.items() for s in [*ids, ids[0]]], "l_orderkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
     degree = {2: 2, 3: 1, 502: 1}
-    score = {r.case_id: r.score for r in scoring.setattn_score_whole(spark, str(tmp_path)).collect()}
-    passed = {(r.case_id, r.component): r.value for r in scoring.bipartite_message_pass_whole(spark, str(tmp_path)).collect()}
-    turned = {(r.case_id, r.component): r.value for r in scoring.relational_convolution_whole(spark, str(tmp_path)).collect()}
+    score = {r.case_id: r.score for r in scoring.setattn_score(spark, str(tmp_path)).collect()}
+    passed = {(r.case_id, r.component): r.value for r in scoring.bipartite_message_pass(spark, str(tmp_path)).collect()}
+    turned = {(r.case_id, r.component): r.value for r in scoring.relational_convolution(spark, str(tmp_path)).collect()}
     for c, ids in cases.items():
         z = sum(math.exp(v[s][0]) for s in ids)
         assert score[c] == pytest.approx(sum((1, 2, -1, 0.5)[j % 4] * sum(math.exp(v[s][0]) * v[s][j] for s in ids) / z for j in range(6)), abs=1e-5)
