@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SALTS = 8
 #: A shard's vectors: at most so many, and at most about so many bytes of doubles.
-SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 8192, 64 << 20, 12
+SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 4096, 64 << 20, 12
 #: Shards go to tasks by hash, over so many times as many tasks, so that few tasks get two.
 SPREAD = 4
 
