@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` in the shared folder as a table bucketed by ``key``: joins on the key leave its rows where they are."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    named = f"caselode_{path.rsplit('-', 1)[1]}"
+    df.write.option("path", path).option("compression", "zstd").option("parquet.enable.dictionary", "false").bucketBy(min(buckets, 100_000), key).saveAsTable(named)
+    return spark.table(named)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Keep ``df`` on executors' disks while several jobs read it.  Its lineage stays, so lost parts are made again."""
     return df.persist(StorageLevel.DISK_ONLY)

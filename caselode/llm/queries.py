@@ -17,6 +17,7 @@ from caselode.llm.packing import op1_best_fit_packing
 from caselode.llm.pii import op3_pii_spans
 from caselode.llm.quality import op6_quality_classifier
 from caselode.llm.repair import op13_conversation_repair
+from caselode.llm.repeats import op11_suffix_array_dedup
 from caselode.llm.toxicity import op2_toxicity
 from caselode.llm.warc import op4_warc_writer
 from caselode.llm.whitening import op12_embedding_whitening
@@ -34,7 +35,7 @@ def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_toxicity, op3_pii_spans, op4_warc_writer, op5_ngram_jaccard_join, op6_quality_classifier, op7_chat_formatting, op8_mixing, op9_nearest_neighbours, op10_exact_top_k, op12_embedding_whitening, op13_conversation_repair]
+    found = [op1_best_fit_packing, op2_toxicity, op3_pii_spans, op4_warc_writer, op5_ngram_jaccard_join, op6_quality_classifier, op7_chat_formatting, op8_mixing, op9_nearest_neighbours, op10_exact_top_k, op11_suffix_array_dedup, op12_embedding_whitening, op13_conversation_repair]
     return {f.__name__: shipped(f) for f in found}
 
 
