@@ -5,9 +5,12 @@ Weights are tables or literals that training elsewhere has made; nothing here tr
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselode.operators.vector_sums import linear, vector_sums
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -25,31 +28,22 @@ def masked_mean(v: Column, m: Column) -> Column:
     return F.sum(v * m) / F.greatest(F.sum(m), F.lit(1.0))
 
 
-def attention_pool(rows: DataFrame, key: str, weight: str, value: str, dims: int) -> DataFrame:
-    """Softmax over a group's ``weight``, then the weighted sum of its vectors: sums only, so groups combine partially."""
-    e = F.exp(F.col(weight))
-    sums = [F.sum(e * F.element_at(value, i + 1).cast("double")).alias(f"_{i}") for i in range(dims)]
-    pooled = rows.groupBy(key).agg(F.sum(e).alias("_z"), *sums)
-    return pooled.select(key, F.array(*[F.col(f"_{i}") / F.col("_z") for i in range(dims)]).alias("pooled"))
+def attention_pool(rows: DataFrame, key: str, score: str, value: str) -> DataFrame:
+    """Softmax over a group's ``score``, then the weighted sum of its vectors."""
+    return vector_sums(rows, [key], score, value, softmax=True).select(key, F.col("v").alias("pooled"))
 
 
-def message_pass(edges: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
+def message_pass(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One bipartite layer: weighted sums of neighbours' vectors; ``edges`` (dst, src, w), ``nodes`` (src, v)."""
-    sums = [F.sum(F.col("w") * F.element_at("v", i + 1).cast("double")).alias(f"_{i}") for i in range(dims)]
-    return edges.join(nodes, "src").groupBy("dst").agg(*sums).select("dst", F.array(*[F.col(f"_{i}") for i in range(dims)]).alias("v"))
+    return vector_sums(edges.join(nodes, "src"), ["dst"], "w", "v").select("dst", "v")
 
 
-def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, list[list[float]]], dims: int) -> DataFrame:
+def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
     """A relational layer: mean over each relation's neighbours, its matrix, sum over relations, then ReLU.
 
-    ``edges`` (dst, src, rel), ``nodes`` (src, v); ``weights`` has a dims x dims matrix per relation.
+    ``edges`` (dst, src, rel), ``nodes`` (src, v); ``weights`` has a square matrix per relation.
     """
-    means = [F.avg(F.element_at("v", i + 1).cast("double")).alias(f"_{i}") for i in range(dims)]
-    per = edges.join(nodes, "src").groupBy("dst", "rel").agg(*means)
-    turned = None
-    for rel, w in weights.items():
-        row = [sum((F.col(f"_{i}") * float(w[i][j]) for i in range(dims) if w[i][j]), F.lit(0.0)) for j in range(dims)]
-        part = per.filter(F.col("rel") == rel).select("dst", *[c.alias(f"_{j}") for j, c in enumerate(row)])
-        turned = part if turned is None else turned.unionByName(part)
-    added = turned.groupBy("dst").agg(*[F.sum(f"_{j}").alias(f"_{j}") for j in range(dims)])
-    return added.select("dst", F.array(*[F.greatest(F.col(f"_{j}"), F.lit(0.0)) for j in range(dims)]).alias("v"))
+    joined = edges.join(nodes, "src").withColumn("w", F.lit(1.0))
+    per = vector_sums(joined, ["dst", "rel"], "w", "v").withColumn("w", 1 / F.col("total"))
+    added = vector_sums(linear(per, "v", weights, "rel"), ["dst"], "w", "v")
+    return added.select("dst", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))).alias("v"))

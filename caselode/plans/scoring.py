@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def setattn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attention over a case's symptom set, then a linear head whose weights repeat over all components."""
     symptoms, vectors, dims = _whole(spark, sf_dir)
     rows = symptoms.join(vectors, "vec_id").withColumn("w", F.col("v")[0])
-    pooled = S.attention_pool(rows, "case_id", "w", "v", dims)
+    pooled = S.attention_pool(rows, "case_id", "w", "v")
     return pooled.select("case_id", F.round(S.dot("pooled", F.array(*[F.lit(HEAD[i % len(HEAD)]) for i in range(dims)])), 6).alias("score"))
 
 
@@ -48,10 +49,10 @@ def setattn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT case_id, i AS component, round(x, 6) AS value FROM m""")
 def bipartite_message_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One layer over column-normalised symptom edges, a row per component."""
-    symptoms, vectors, dims = _whole(spark, sf_dir)
+    symptoms, vectors, _ = _whole(spark, sf_dir)
     degree = symptoms.groupBy("vec_id").agg((1 / F.count("*")).alias("w"))
     edges = symptoms.join(degree, "vec_id").select(F.col("case_id").alias("dst"), F.col("vec_id").alias("src"), "w")
-    out = S.message_pass(edges, vectors.withColumnRenamed("vec_id", "src"), dims)
+    out = S.message_pass(edges, vectors.withColumnRenamed("vec_id", "src"))
     return _by_component(out)
 
 
@@ -63,8 +64,8 @@ def relational_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A relational graph layer whose matrices repeat those of the two relations along the diagonal, a row per component."""
     symptoms, vectors, dims = _whole(spark, sf_dir)
     e = symptoms.select(F.col("case_id").alias("dst"), F.col("vec_id").alias("src"), (F.col("vec_id") % 2).alias("rel"))
-    weights = {r: [[w[i % 2][j % 2] if i // 2 == j // 2 else 0.0 for j in range(dims)] for i in range(dims)] for r, w in RELATIONS.items()}
-    return _by_component(S.graph_convolution(e, vectors.withColumnRenamed("vec_id", "src"), weights, dims))
+    weights = {r: np.kron(np.eye(-(-dims // 2)), w)[:dims, :dims] for r, w in RELATIONS.items()}
+    return _by_component(S.graph_convolution(e, vectors.withColumnRenamed("vec_id", "src"), weights))
 
 
 def _by_component(out: DataFrame) -> DataFrame:

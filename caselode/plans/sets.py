@@ -40,7 +40,7 @@ def set_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.array(*[F.lit(WEIGHTS[i % len(WEIGHTS)]) for i in range(dims)])
     members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("set_id"), F.col("s_suppkey").alias("vec_id"))
     rows = members.join(v, "vec_id").withColumn("a", F.tanh(S.dot(weights, "v")))
-    return S.attention_pool(rows, "set_id", "a", "v", dims).select("set_id", unit("pooled").alias("v"))
+    return S.attention_pool(rows, "set_id", "a", "v").select("set_id", unit("pooled").alias("v"))
 
 
 def _components(df: DataFrame, key: str) -> DataFrame:
