@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+"
 #: Chinese, Japanese and Korean characters, with the Japanese marks of length and repetition.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー々]"
+#: Quick to test: whatever these scripts hold lies here.
+FAR = r"[^\x00-\x{10FF}]"
 RUN = rf"{UNSPACED}+|[\p{{L}}\p{{N}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}ー々]]+"
 
 
@@ -41,8 +43,8 @@ def _pairs(w: Column) -> Column:
 def terms(c: Column | str) -> Column:
     """Words, with neighbouring character pairs in place of runs of a script without spaces between words."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(RUN), F.lit(0))
-    # Without such a script the runs are the words.
-    return F.when(~F.rlike(F.lower(c), F.lit(UNSPACED)), words(c)).otherwise(F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^{UNSPACED}"), _pairs(w)).otherwise(F.array(w)))))
+    # Without such a script the runs are the words; classes of scripts are slow, so that a range is asked first.
+    return F.when(~F.rlike(c, F.lit(FAR)), words(c)).otherwise(F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^{UNSPACED}"), _pairs(w)).otherwise(F.array(w)))))
 
 
 def bigrams(c: Column | str) -> Column:

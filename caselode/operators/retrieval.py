@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselode.functions.text import terms as mixed_terms
-
+from caselode.sources.shipping import ship
+from caselode.sources.stages import written
 
 #: Terms of all queries, repeats across queries counted, that one broadcast holds.
 BROADCAST_TERMS = 50_000
@@ -32,24 +38,46 @@ def idf_lucene(df: DataFrame, n: DataFrame) -> DataFrame:
     return counted.select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, variant: str = "okapi", k1: float = 1.5, b: float = 0.75, tokens=mixed_terms) -> DataFrame:
+def counted_terms(docs: DataFrame, tokens=mixed_terms) -> DataFrame:
+    """(doc_id, dl, terms, tfs) of docs (doc_id, text): each document's different terms and how often it has them.
+
+    Texts are tokenised once, here; all that BM25 needs of the corpus is read from this table.  Counting is within a
+    document, so it needs no shuffle: a batch's terms become numbers, which are counted as pairs with their row."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy()
+            names = lists.flatten().dictionary_encode()
+            wide = max(1, len(names.dictionary))
+            pairs, counts = np.unique(np.repeat(np.arange(len(lengths)), lengths) * wide + names.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(lengths) + 1) * wide).astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, names.dictionary.take(pa.array(pairs % wide)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int64)), terms, pa.ListArray.from_arrays(ends, pa.array(counts))], names=["doc_id", "dl", "terms", "tfs"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", tokens("text").alias("tokens")).mapInArrow(run, f"doc_id {kind}, dl long, terms array<string>, tfs array<long>")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, variant: str = "okapi", k1: float = 1.5, b: float = 0.75, tokens=mixed_terms, counted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): ``queries`` (query_id, text) against ``docs`` (doc_id, text); ties to the smaller id.
 
     Only documents that share a term with the query are scored; a repeated query term adds again.
-    Terms are words, and character pairs in Chinese, Japanese and Korean runs.
+    Terms are words, and character pairs in Chinese, Japanese and Korean runs.  No query terms, or ``k`` under 1, give no rows.
+    ``counted`` is what ``counted_terms`` has made of the documents, for several searches of one corpus.
     """
+    counted = written(counted_terms(docs, tokens), "terms") if counted is None else counted
     terms = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = terms.select("term").distinct()
     few = terms.count() <= BROADCAST_TERMS
     asked = F.broadcast(asked) if few else asked
-    tokened = docs.select("doc_id", tokens("text").alias("tokens"))
-    stats = tokened.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
-    seen = tokened.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    seen = counted.select(F.explode("terms").alias("term"))
     # Only terms that are asked for go on, but for Okapi's mean, which is over all.
     df = (seen if variant == "okapi" else seen.join(asked, "term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = (idf_okapi if variant == "okapi" else idf_lucene)(df, stats.select("n")).join(asked, "term")
-    held = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term")
-    tf = held.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = counted.select("doc_id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).join(asked, "term")
     gain = (k1 + 1) if variant == "okapi" else 1.0
     weighed = terms.join(idf, "term")
     hit = tf.join(F.broadcast(weighed) if few else weighed, "term").crossJoin(F.broadcast(stats.select("avgdl")))
