@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselode.functions.text import terms as mixed_terms
+from caselode.operators.vector_sums import matrix
 from caselode.sources.shipping import ship
 from caselode.sources.stages import written
 
@@ -97,27 +97,92 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-#: Queries that one broadcast holds, about 4 MB of 64 components.
-QUERY_BLOCK = 8192
+#: Vectors of a block; a product of two blocks is a task's unit of work.
+BLOCK_ROWS = 4096
+#: Scores this near to a block's k-th are passed on, so that rounding and ties are settled over all blocks at once.
+MARGIN = 1e-6
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, own: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
+def _blocks(rows: DataFrame, id_: str, vec: str, prefix: str, size: int) -> tuple[DataFrame, int]:
+    """Rows by hash into blocks of about ``size``: (block, ids, unit vectors as one matrix)."""
+    count = max(1, -(-rows.count() // size))
+    dealt = rows.select(F.pmod(F.xxhash64(id_), F.lit(count)).cast("int").alias("block"), F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
+
+    def pack(key, batch):  # without type hints: Spark would take them for its own
+        v = matrix(batch.column("v"))
+        v = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
+        columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())]
+        return pa.Table.from_arrays(columns, names=[f"{prefix}block", f"{prefix}ids", f"{prefix}data"])
+
+    return dealt.groupBy("block").applyInArrow(pack, f"{prefix}block int, {prefix}ids array<long>, {prefix}data binary"), count
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, own: bool = True, block: int = BLOCK_ROWS) -> DataFrame:
     """Cosine of the stated queries (query_id, qv) with every row of ``corpus`` (doc_id, v); without ``own``, but the query's own id.
 
-    Queries go past the corpus in blocks by hash of about ``block``; only one block is broadcast at a time, and each task
-    keeps its best k.  A block's result is kept on disk before the next one starts.
+    Both sides are packed into blocks of unit vectors; each pair of blocks meets once, as one product of matrices, and
+    leaves its best k for each query.  Vectors have one length; ``k`` under 1 gives no rows.
     """
-    blocks = -(-queries.count() // block)
-    if blocks <= 1:
-        return _dense_block(queries, corpus, k, own)
+    ship(queries.sparkSession)
+    asked, _ = _blocks(queries, "query_id", "qv", "q", max(1, block // 4))
+    held, count = _blocks(corpus, "doc_id", "v", "", block)
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(held, "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, ids = (np.array(batch.column(c)[i].values) for c in ("qids", "ids"))
+                q, v = (np.frombuffer(batch.column(c)[i].as_py()).reshape(n, -1) for c, n in (("qdata", len(q_ids)), ("data", len(ids))))
+                score = q @ v.T
+                if not own:
+                    score[q_ids[:, None] == ids[None, :]] = -np.inf
+                at = min(k, len(ids)) - 1
+                least = -np.partition(-score, at, axis=1)[:, at] if at >= 0 else np.full(len(q), np.inf)
+                rows, columns = np.nonzero((score >= np.maximum(least, -2)[:, None] - MARGIN) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[columns]), pa.array(score[rows, columns])], names=["query_id", "doc_id", "score"])
+
+    met = pairs.select("qids", "qdata", "ids", "data").mapInArrow(run, "query_id long, doc_id long, score double")
+    return top(met.withColumn("score", F.round("score", 6)), k, "doc_id")
+
+
+#: Retrievers by name: how they read (query_id, query) against (doc_id, lexical, dense), best k.
+RETRIEVERS = {
+    "bm25": lambda q, d, k: bm25_topk(q.select("query_id", F.col("query").alias("text")), d.select("doc_id", F.col("lexical").alias("text")), k),
+    "pyserini_bm25": lambda q, d, k: bm25_topk(q.select("query_id", F.col("query").alias("text")), d.select("doc_id", F.col("lexical").alias("text")), k, variant="lucene"),
+    "dense": lambda q, d, k: dense_topk(q.filter("query <> ''").select("query_id", hashed_terms(F.concat(F.lit(INSTRUCTION), "query")).alias("qv")), d.select("doc_id", hashed_terms(F.col("dense")).alias("v")), k),
+}
+# Fixed value: what the dense encoder reads before a query.
+INSTRUCTION = "为这个句子生成表示以用于检索相关文章："
+HASHED = 64
+
+
+def hashed_terms(text: Column) -> Column:
+    """A stand-in for a trained encoder: how often a text has terms of each of ``HASHED`` classes, by their MD5."""
+    classes = F.transform(mixed_terms(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long") % HASHED).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(HASHED - 1)), lambda i: F.size(F.filter(classes, lambda c: c == i)).cast("double"))
+
+
+def retrieve(names: list[str], queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(retriever, query_id, doc_id, score, rank) of the named retrievers over one query table and one catalogue.
+
+    Queries that are blank, and ``k`` under 1, give no rows; an unknown name is an error."""
+    if unknown := [n for n in names if n not in RETRIEVERS]:
+        raise ValueError(f"no such retriever: {', '.join(unknown)}; there are {', '.join(RETRIEVERS)}")
     whole = None
-    for i in range(blocks):
-        part = _dense_block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), corpus, k, own).persist(StorageLevel.DISK_ONLY)
-        part.count()
+    for name in names:
+        part = RETRIEVERS[name](queries, docs, k).select(F.lit(name).alias("retriever"), "query_id", "doc_id", "score", "rank")
         whole = part if whole is None else whole.unionByName(part)
     return whole
 
 
-def _dense_block(queries: DataFrame, corpus: DataFrame, k: int, own: bool) -> DataFrame:
-    pairs = corpus.join(F.broadcast(queries), F.lit(True) if own else F.col("query_id") != F.col("doc_id"))
-    return top(pairs.select("query_id", "doc_id", F.round(cosine("qv", "v"), 6).alias("score")), k, "doc_id")
+def hydrated(candidates: DataFrame, catalogue: DataFrame, id_: str, missing: str = "error") -> DataFrame:
+    """Candidates with their catalogue rows, each candidate of a query once, at its best rank.
+
+    Ids that the catalogue lacks are an error, or left out (``missing`` "skip")."""
+    first = Window.partitionBy(*[c for c in candidates.columns if c in ("retriever", "query_id")], id_).orderBy("rank")
+    once = candidates.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    if missing == "skip":
+        return once.join(catalogue, id_)
+    found = once.join(catalogue.withColumn("_there", F.lit(True)), id_, "left")
+    known = F.when(F.col("_there"), True).otherwise(F.raise_error(F.concat(F.lit("not in the catalogue: "), F.col(id_).cast("string"))).cast("boolean"))
+    return found.filter(known).drop("_there")
