@@ -14,7 +14,7 @@ second.  A logistic curve on a text's two largest windows and the sum of its ins
 fitted on the same learning texts.
 
 Fitting reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled texts, picked by the hash of their id, and at most
-``MAX_WINDOWS`` windows of each kind; scoring covers every text.
+``MAX_WINDOWS`` windows of each kind, all of which are candidates for landmarks; scoring covers every text.
 
 Defined results: null and empty texts get the score of a text without windows; texts of any length are scored whole;
 repeated rows score alike; with no labelled text of both kinds all scores are 0; further columns are ignored.
@@ -221,15 +221,17 @@ def disguised(words: list[str], seed: int = 3) -> list[str]:
     return out
 
 
-def _spread(features: np.ndarray, count: int) -> np.ndarray:
-    """Farthest-first choice of landmarks."""
-    if len(features) <= count:
-        return np.arange(len(features))
-    chosen, near = [0], features @ features[0]
+def _spread(words: list[str], count: int) -> list[str]:
+    """Farthest-first choice of landmarks among all the words: each next one is the least like those chosen so far."""
+    if len(words) <= count:
+        return words
+    blocks, near, chosen = list(by_length(words)), np.full(len(words), -np.inf), [0]
     for _ in range(count - 1):
+        features = kernel_features([words[chosen[-1]]])[0]
+        for at, found, weights, norm in blocks:
+            near[at] = np.maximum(near[at], features[found] @ weights / norm)
         chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, features @ features[chosen[-1]])
-    return np.array(chosen)
+    return [words[i] for i in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict | None:
@@ -272,8 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     bad = list(dict.fromkeys(bad + disguised(bad)))
     if not bad or not good:
         return None
-    z_bad = [bad[i] for i in _spread(kernel_features(bad[:600]), LANDMARKS * 5 // 8)]
-    z_good = [good[i] for i in _spread(kernel_features(good[:600]), LANDMARKS - len(z_bad))]
+    z_bad = _spread(bad, LANDMARKS * 5 // 8)
+    z_good = _spread(good, LANDMARKS - len(z_bad))
     phi = kernel_features(z_bad + z_good)
     values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = values > 1e-4 * values.max()
