@@ -6,8 +6,8 @@ product is searched as nearness of vectors padded to one length, which turns lar
 All steps run for a block of queries at once, so that the work inside is array arithmetic.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; equal vectors are one
-node with its smallest ids; vectors meet only vectors of their own dimension; repeated rows with one id count once; an
-empty table gives no rows; further columns are ignored.
+node with its smallest ids; vectors meet only vectors of their own dimension; repeated rows with one id count once; an id
+of several vectors is a candidate with each of them and asks with the smallest; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def build_index(vectors: DataFrame, shards: int, k: int, m: int = 16, ef_build:
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = 192, block: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of each (id, vec) query's k nearest, its own id left out."""
     shards = index.select("shard", "dim")
-    valid = queries.select("id", "vec").filter(finite("vec", False)).dropDuplicates(["id"])
+    valid = queries.select("id", "vec").filter(finite("vec", False)).groupBy("id").agg(F.min("vec").alias("vec"))
     # Each query goes to each shard of its dimension: the stated query set against all rows.
     visits = valid.join(F.broadcast(shards), F.size("vec") == F.col("dim")).select("shard", "id", F.col("vec").cast("array<double>").alias("vec"))
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("nodes", "long"), ("vectors", "binary"), ("ids", "array<array<long>>"), ("levels", index.schema["levels"].dataType))]

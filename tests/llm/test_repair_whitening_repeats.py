@@ -243,3 +243,35 @@ def test_repeats_in_odd_documents(spark, chunk):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"id": F.lit("x"), "chunk": F.lit("c"), "data": F.lit(1), "bucket": F.lit(None)})
     assert found_by(repeats.remove_repeats(df, "doc_id", "text", chunk, 64)) == removed_by_hand(docs)
     assert repeats.remove_repeats(df.limit(0), "doc_id", "text").count() == 0
+
+
+# Operator 10: what the proof saves
+
+
+def test_impact_index_stops_early_and_is_exact():
+    from caselode.llm.impact_index import build_segments, search_segments
+
+    r = np.random.default_rng(0)
+    for v in (np.floor(256 * r.normal(0, 0.125, (3000, 64))).astype(np.int64), r.integers(-3, 4, (500, 8)), np.zeros((40, 4), np.int64), r.integers(-(2**24), 2**24, (60, 3))):
+        seg, shares = build_segments(v), []
+        for q in v[::37]:
+            nodes, scores, share = search_segments(v, seg, q, 6)
+            assert (scores == v[nodes] @ q).all()
+            # All nodes of the sixth-best score or more are there, so that ties can go by id.
+            whole = v @ q
+            assert set(np.flatnonzero(whole >= np.sort(whole)[-6]).tolist()) <= set(nodes.tolist())
+            shares.append(share)
+        if len(v) == 3000:
+            assert np.median(shares) < 0.5
+
+
+def test_one_id_with_two_vectors(spark):
+    from caselode.llm import hnsw, impact_index
+
+    rows = [(1, [5, 0]), (1, [0, 7]), (2, [3, 3]), (3, [0, 9])]
+    df = spark.createDataFrame(rows, "id long, vec array<long>")
+    out = impact_index.search_index(impact_index.build_index(df, 2, 5), df.filter("id = 1"), 5).collect()
+    # Its smallest vector asks: (0, 7).
+    assert [(x.vec_id, x.score) for x in sorted(out, key=lambda x: x.rank)] == [(3, 63), (2, 21)]
+    found = hnsw.search_index(hnsw.build_index(df.withColumn("vec", F.col("vec").cast("array<double>")), 2, 5), df.withColumn("vec", F.col("vec").cast("array<double>")).filter("id = 1"), 5)
+    assert [x.vec_id for x in found.orderBy("rank").collect()] == [3, 2]
