@@ -40,7 +40,7 @@ WINDOW, GRAM = 50, 24
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 LONGEST_RUN = 100
 #: Text of a chunk and of a bucket of anchors; suffixes in one construction; windows hashed at a time.
-CHUNK_BYTES, BUCKET_BYTES, BATCH, BLOCK = 4 << 20, 8 << 20, 1 << 18, 1 << 15
+CHUNK_BYTES, BUCKET_BYTES, BATCH, BLOCK = 4 << 20, 8 << 20, 1 << 16, 1 << 15
 FACTOR = 0x9E3779B97F4A7C15
 CHUNK = "chunk long, ids array<long>, ends array<long>, data binary"
 RUN = np.dtype([("piece", "<u4"), ("start", "u1"), ("length", "u1"), ("owner", "<i8")])
@@ -128,6 +128,11 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted list."""
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values if len(listed) else np.zeros(len(values), bool)
+
+
 @dataclass
 class Chunk:
     """A chunk's documents and their runs, in the order of anchors."""
@@ -147,12 +152,11 @@ class Chunk:
         known = np.array(listed.is_valid())
         ids, ends = np.array(listed.fill_null(0)), np.array(batch.column("ends")[i].values)
         data = np.frombuffer(batch.column("data")[i].as_py(), np.uint8)
-        valid = np.zeros(len(data) + 1, np.int8)
+        valid = np.zeros(len(data), bool)
         begins = np.append(0, ends[:-1])
-        use = known & (ends - begins >= WINDOW)
-        valid[begins[use]] += 1
-        valid[ends[use] - WINDOW + 1] -= 1
-        starts, counts, anchors = anchored_runs(data, np.cumsum(valid[:-1]) > 0)
+        for a, b in zip(begins[known].tolist(), ends[known].tolist(), strict=True):
+            valid[a : max(a, b - WINDOW + 1)] = True
+        starts, counts, anchors = anchored_runs(data, valid)
         order = np.argsort(anchors, kind="stable")
         starts = starts[order]
         return Chunk(ids, known, ends, data, starts, counts[order], anchors[order], np.searchsorted(ends, starts, "right"))
@@ -160,8 +164,7 @@ class Chunk:
     def only(self, shared: np.ndarray, buckets: int) -> Chunk:
         """With the runs whose anchors are among ``shared`` (bucket and lower half as one number)."""
         key = bucket_of(self.anchors, buckets) << np.uint64(32) | self.anchors & np.uint64(0xFFFFFFFF)
-        near = np.searchsorted(shared, key)
-        use = shared[np.minimum(near, len(shared) - 1)] == key if len(shared) else np.zeros(len(key), bool)
+        use = _among(key, shared)
         return Chunk(self.ids, self.known, self.ends, self.data, self.starts[use], self.counts[use], self.anchors[use], self.docs[use])
 
     def pieces(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -224,12 +227,12 @@ def anchors_shared(sent: DataFrame) -> DataFrame:
     def run(key, rows):  # without type hints: Spark would take them for its own
         blobs = [(o or b"") + (m or b"") for o, m in zip(rows.column("once").to_pylist(), rows.column("more").to_pylist(), strict=True)]
         twice = np.frombuffer(b"".join(rows.column("more").to_pylist()), np.uint32)
-        values, counts = np.unique(np.frombuffer(b"".join(blobs), np.uint32), return_counts=True)
-        shared = values[(counts > 1) | np.isin(values, twice)]
+        whole = np.sort(np.concatenate([np.frombuffer(b"".join(blobs), np.uint32), twice]))
+        shared = np.unique(whole[1:][whole[1:] == whole[:-1]])
         out = []
         for chunk, blob in zip(rows.column("chunk").to_pylist(), blobs, strict=True):
             own = np.frombuffer(blob, np.uint32)
-            if len(own := own[np.isin(own, shared)]):
+            if len(own := own[_among(own, shared)]):
                 out.append((chunk, key[0].as_py(), own.tobytes()))
         return pa.Table.from_batches([_batch(names, [[r[k] for r in out] for k in range(3)])])
 
@@ -308,20 +311,21 @@ def owners_found(pieces: DataFrame) -> DataFrame:
 
 def construct(texts: list[bytes], anchors: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(each string's first window, least owner per window).  Strings of different anchors share no window, so
-    constructions take whole anchors, about ``BATCH`` suffixes at a time."""
+    constructions take whole anchors, about ``BATCH`` bytes at a time."""
+    order = np.argsort(anchors, kind="stable")
+    data = np.frombuffer(b"".join([texts[i] for i in order.tolist()]), np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
-    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths)
     windows = lengths - WINDOW + 1
     offsets = np.cumsum(windows) - windows
     found = np.empty(int(windows.sum()), np.int64)
-    order = np.argsort(anchors, kind="stable")
-    sizes, names = np.cumsum(lengths[order]), anchors[order]
+    ends, names = np.cumsum(lengths[order]), anchors[order]
     at = 0
     while at < len(order):
-        to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, "right"))
+        begin = int(ends[at - 1]) if at else 0
+        to = int(np.searchsorted(ends, begin + BATCH, "right"))
         to = int(np.searchsorted(names, names[min(max(to, at + 1), len(order)) - 1], "right"))
         use = order[at:to]
-        made = window_minima(data, (ends - lengths)[use], lengths[use], owner[use], WINDOW)
+        made = window_minima(data[begin : ends[to - 1]], ends[at:to] - lengths[use] - begin, lengths[use], owner[use], WINDOW)
         found[np.repeat(offsets[use], windows[use]) + _within(windows[use])] = made
         at = to
     return offsets, found
@@ -345,9 +349,9 @@ def marked(c: Chunk, found: list[tuple[int, bytes]], buckets: int) -> np.ndarray
         owner[np.repeat(offsets[begins[bucket] + runs["piece"]] + runs["start"], counts) + _within(counts)] = np.repeat(runs["owner"], counts)
     inside = _within(c.counts)
     hit = owner[np.repeat(offsets[of], c.counts) + inside] < np.repeat(c.ids[c.docs], c.counts)
-    begun = np.zeros(len(c.data), np.int64)
+    begun = np.zeros(len(c.data), np.int32)
     begun[(np.repeat(c.starts, c.counts) + inside)[hit]] = 1
-    total = np.cumsum(begun)
+    total = np.cumsum(begun, dtype=np.int32)
     total[WINDOW:] -= total[:-WINDOW].copy()
     return total > 0
 
@@ -372,7 +376,8 @@ def kept_bytes(chunks: DataFrame, buckets: int) -> DataFrame:
                 of = np.searchsorted(c.ends, first, "right")
                 counts = np.append(0, np.cumsum(np.bincount(of, minlength=len(c.ends)))).astype(np.int32)
                 spans = pa.StructArray.from_arrays([pa.array(first - begins[of]), pa.array(last - first + 1)], names=["start", "length"])
-                stay = np.append(0, np.cumsum(~cover))[np.append(0, c.ends)].astype(np.int32)
+                stays = [b - a - np.count_nonzero(cover[a:b]) for a, b in zip(begins.tolist(), c.ends.tolist(), strict=True)]
+                stay = np.append(0, np.cumsum(stays)).astype(np.int32)
                 kept = pa.Array.from_buffers(pa.binary(), len(c.ends), [None, pa.py_buffer(stay), pa.py_buffer(c.data[~cover])])
                 yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array(c.ends - begins), pa.ListArray.from_arrays(pa.array(counts), spans), kept], names=["id", "n_bytes", "spans", "kept"])
 
