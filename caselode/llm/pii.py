@@ -1,11 +1,12 @@
 """Personal data by candidate gradient boosting (operator 3), in DataFrame and SQL functions only.
 
-Base spans follow four fixed patterns and always stay.  High-recall generators propose further, overlapping spans:
-e-mail addresses written out, telephone numbers without a plus sign, cards with odd separators, IBANs, social security numbers
-and IPv6 addresses.  Boosted trees see a candidate's format and context, and a span is added where its probability
-reaches its kind's threshold.  Thresholds are calibrated on lines that the trees have not seen, as the least margin at
-which ``PRECISION`` of the kind's accepted candidates are true.  Generators see the text with its base spans blanked out, so
-an added span never overlaps a base span; of added ones that overlap, walking by start, the better stays.
+Base spans follow four fixed patterns and always stay.  High-recall generators propose overlapping spans over the whole
+text: all base-like forms, valid or not, and further ones: e-mail addresses written out or spaced, telephone numbers without
+a plus sign, cards with odd separators, IBANs, social security numbers, IPv6 and defanged addresses.  Boosted trees see
+each candidate's format and context, and a span is accepted where its probability reaches its kind's threshold.  Thresholds
+are calibrated on lines that the trees have not seen, as the least margin at which ``PRECISION`` of the kind's accepted
+candidates are true.  Base spans stay whatever the trees say; an added span never overlaps one, and of added ones that
+overlap, walking by start, the better stays.
 
 There are no labelled spans to learn from, so the trees learn from ``EXAMPLES`` made-up lines, true and false, of fixed
 seed; fitting does not depend on the corpus.  Trees are folded into column expressions.
@@ -27,7 +28,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import table
+from caselode.llm.common import table, written
 
 # The base patterns, by kind, in their listed order.  Quantifiers that nothing can follow are possessive.
 BASE = {
@@ -40,13 +41,18 @@ BASE = {
 MAYBE = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]"}
 #: Generators of candidates: kind, pattern, and a cheap test that it can match at all.
 GENERATORS = [
-    ("email", r"[A-Za-z0-9._%+-]++ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{2,}+)++", r"[\[({] ?at ?[\])}]"),
-    ("email", r"[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{2,}+)++", r" at [A-Za-z0-9-]++(?: ?[\[({] ?dot| dot |\.[A-Za-z0-9])"),
+    ("email", r"[A-Za-z0-9._%+-]++ ?[\[({<] ?(?i:at|@) ?[\])}>] ?[A-Za-z0-9-]++(?:(?: ?[\[({<] ?(?i:dot|\.) ?[\])}>] ?| (?i:dot) | ?\. ?)[A-Za-z0-9-]{2,}+)++", r"[\[({<] ?(?i:at|@) ?[\])}>]"),
+    ("email", r"[A-Za-z0-9._%+-]++ (?i:at) [A-Za-z0-9-]++(?:(?: ?[\[({<] ?(?i:dot) ?[\])}>] ?| (?i:dot) |\.)[A-Za-z0-9-]{2,}+)++", r" (?i:at) [A-Za-z0-9-]++(?: ?[\[({<] ?(?i:dot)| (?i:dot) |\.[A-Za-z0-9])"),
+    ("email", r"[A-Za-z0-9._%+-]++(?: @ ?| ?@ |＠)[A-Za-z0-9-]++(?: ?\. ?[A-Za-z0-9-]{2,}+)++", r" @|@ |＠"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])", r"::[0-9A-Fa-f]"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(]\.[\])] ?| \. ?|\. )[0-9]{1,3}(?:(?: ?[\[(]\.[\])] ?| ?\. ?)[0-9]{1,3}){2}(?![0-9.])", r"[0-9] ?[\[(]?\.[\])]? ?[0-9]{1,3} ?[\[(]?\."),
     ("card", r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{4}){3}(?![0-9])", r"[0-9]{4}[._/\x20-][._/\x20-]?[0-9]{4}"),
     ("card", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
     ("card", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9-])", r"[0-9]\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]"),
+    ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}(?:[\x20./-]?[0-9]{2,4}){2,4}(?![0-9])", r"00[1-9]"),
+    ("phone", r"(?<![0-9+.-])0[0-9]{1,4}[\x20./-][0-9]{5,8}(?![0-9-])", r"0[0-9]{1,4}[\x20./-][0-9]{5}"),
 ]
 WORDS = {
     "email": r"mail|contact|write|reach|adres|correo|courriel",
@@ -55,8 +61,9 @@ WORDS = {
     "phone": r"phone|tel|call|mobil|fax|cell|contact|numéro|anruf|llam",
 }
 NOT = r"version|isbn|order|invoice|date|ref|page|total|part|no\.|id|score|serial|lot"
-NAMES = ["digits", "letters", "length", "marks", "luhn", "word", "not_word", "touches", "upper", "groups", "k_email", "k_ip", "k_card"]
-EXAMPLES, TREES, DEPTH, PRECISION = 2400, 12, 3, 0.99
+TLD = r"(?i)[.\x20\])}>](?:com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|ch|at|be|pl|se)$"
+NAMES = ["digits", "letters", "length", "marks", "luhn", "word", "not_word", "touches", "upper", "groups", "tld", "valid", "zeros", "k_email", "k_ip", "k_card"]
+EXAMPLES, TREES, DEPTH, PRECISION = 6000, 20, 4, 0.99
 CONTEXT = 28
 SPAN = "array<struct<kind:string,start:bigint,stop:bigint,body:string>>"
 PROPOSED = "array<struct<kind:string,start:bigint,stop:bigint,body:string,before:string,after:string>>"
@@ -150,9 +157,8 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _fixed(docs: DataFrame, t: Column, name: str) -> DataFrame:
     """Add the valid matches of the base patterns in ``t``."""
-    least = {"email": 4, "ip": 7, "card": 12, "phone": 9}
     for kind, pattern in BASE.items():
-        docs = docs.withColumn(f"_{kind}", _matches(kind, pattern, t, MAYBE[kind], least[kind]))
+        docs = docs.withColumn(f"_{kind}", _matches(kind, pattern, t, MAYBE[kind], LEAST[kind]))
     valid = lambda kind: F.filter(f"_{kind}", lambda s: _valid(kind, s["body"]))
     kept = [valid(kind) for kind in BASE]
     return docs.withColumn(name, _by_place(F.concat(*kept))).drop(*[f"_{k}" for k in BASE])
@@ -187,19 +193,26 @@ def _replaced(text: Column, spans: Column, by) -> Column:
     return F.when(F.size(spans) > 0, _let(run, pieces)).otherwise(text)
 
 
+LEAST = {"email": 4, "ip": 7, "card": 12, "phone": 9}
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``proposed``: what the generators find outside ``base`` spans, with the text before and after.
+    """Add ``proposed``: what the generators find, overlapping, with the text before and after.
 
-    Where there is ``base``, ``again`` too: valid matches that a base span had run into, as a telephone number before a card.
+    Base-like forms, valid or not, are proposed over the whole text; further forms, and base-like ones that a base span had
+    run into (a telephone number before a card), where no ``base`` span lies, so that none hides them.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumn("_t", _replaced(t, F.col("base"), lambda s: F.repeat(F.lit(BLANK), (s["stop"] - s["start"]).cast("int"))) if "base" in docs.columns else t)
-    for i, (kind, pattern, hint) in enumerate(GENERATORS):
-        docs = docs.withColumn(f"_g{i}", _matches(kind, pattern, F.col("_t"), hint, 7, context=True))
-    if "base" in docs.columns:
-        docs = _fixed(docs, F.when(F.size("base") > 0, F.col("_t")).otherwise(""), "again")
-    every = F.concat(*[F.col(f"_g{i}") for i in range(len(GENERATORS))])
-    return docs.withColumn("proposed", every).drop("_t", *[f"_g{i}" for i in range(len(GENERATORS))])
+    hidden = "base" in docs.columns
+    docs = docs.withColumn("_t", _replaced(t, F.col("base"), lambda s: F.repeat(F.lit(BLANK), (s["stop"] - s["start"]).cast("int"))) if hidden else t)
+    found = [(kind, pattern, t, MAYBE[kind], LEAST[kind]) for kind, pattern in BASE.items()]
+    found += [(kind, pattern, F.when(F.size("base") > 0, F.col("_t")).otherwise(""), MAYBE[kind], LEAST[kind]) for kind, pattern in BASE.items()] if hidden else []
+    found += [(kind, pattern, F.col("_t"), hint, 5) for kind, pattern, hint in GENERATORS]
+    for i, one in enumerate(found):
+        docs = docs.withColumn(f"_g{i}", _matches(*one, context=True))
+    every = F.concat(*[F.col(f"_g{i}") for i in range(len(found))])
+    run_into = sum((F.size(f"_g{i}") for i in range(len(BASE), 2 * len(BASE))), F.lit(0)) if hidden else F.lit(0)
+    return docs.withColumn("proposed", every).withColumn("_run_into", run_into).drop("_t", *[f"_g{i}" for i in range(len(found))])
 
 
 def features(s: Column) -> dict[str, Column]:
@@ -222,6 +235,9 @@ def features(s: Column) -> dict[str, Column]:
         "touches": yes(F.rlike(F.concat(F.right(s["before"], F.lit(1)), F.lit("|"), s["after"]), F.lit("[A-Za-z0-9@#$%=_-]"))),
         "upper": count("[A-Z]"),
         "groups": count("[0-9A-Za-z]+"),
+        "tld": yes(F.rlike(body, F.lit(TLD))),
+        "valid": functools.reduce(lambda a, k: F.when(kind == k, yes(F.rlike(body, F.lit(f"^{BASE[k]}$")) & _valid(k, body))).otherwise(a), BASE, F.lit(0)),
+        "zeros": count("(?<![0-9A-Za-z])0+(?![0-9A-Za-z])|::"),
         "k_email": yes(kind == "email"),
         "k_ip": yes(kind == "ip"),
         "k_card": yes(kind == "card"),
@@ -241,29 +257,50 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> list[tuple[str, int]]:
         return body + str(-total % 10)
 
     four = lambda s, sep: sep.join(s[i : i + 4] for i in range(0, 16, 4))
-    hexes = lambda n: ":".join(f"{r.randrange(65536):x}" for _ in range(n))
+    group = lambda: r.choice([f"{r.randrange(65536):x}", f"{r.randrange(65536):x}", f"{r.randrange(256):x}", "0"])
+    hexes = lambda n: ":".join(group() for _ in range(n))
+    tld = lambda: r.choice(["com", "org", "net", "de", "co.uk", "fr", "io", "edu"])
+    name = lambda: r.choice([w(), f"{w()}.{w()}", f"{w()}_{d(2)}", f"{w()}{d(2)}"])
+    octet = lambda: str(r.randrange(256))
+    seen = lambda *words: r.choice([*words, w(), f"{w()} {w()}"])
+    at = lambda: r.choice([" [at] ", "(at)", " (at) ", "[at]", " {at} ", " <at> ", " AT ", " at "])
+    dot = lambda: r.choice([" dot ", " [dot] ", ".", "[.]", " (dot) ", " DOT "])
+    local = lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(4)}", f"0{d(3)}/{d(6)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)}-{d(7)}"])
+    bad = lambda: four((c := card())[:-1] + str((int(c[-1]) + r.randint(1, 9)) % 10), r.choice([".", "  ", "_", "/", "-", " ", ""]))
     true = [
-        lambda: f"{r.choice(['mail me', 'contact', 'e-mail', 'write to'])} {w()}.{w()} {r.choice(['[at]', '(at)', 'at'])} {w()}{r.choice([' dot ', ' [dot] ', '.'])}com",
-        lambda: f"{w()} {w()}{r.choice([' [at] ', '(at)', ' (at) '])}{w()} dot {r.choice(['org', 'net', 'com'])} {w()}",
-        lambda: f"{r.choice(['call', 'phone', 'tel.', 'mobile', 'fax'])} {r.choice([f'({d(3)}) {d(3)}-{d(4)}', f'{d(3)}-{d(3)}-{d(4)}', f'0{d(2)} {d(3)} {d(4)}'])} {w()}",
-        lambda: f"{r.choice(['card', 'visa', 'pay with'])} {four(card(), r.choice(['.', '  ', '_', '/']))} {w()}",
-        lambda: f"{w()} {four(card(), r.choice(['.', '  ', '_']))} {w()}",
-        lambda: f"{r.choice(['iban', 'account', 'konto'])} DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)} {w()}",
-        lambda: f"{r.choice(['ssn', 'social security', 'ssn is'])} {d(3)}-{d(2)}-{d(4)} {w()}",
-        lambda: f"{r.choice(['ip', 'host', 'login from', 'server addr'])} {hexes(8)} {w()}",
+        lambda: f"{seen('mail me', 'contact', 'e-mail', 'write to', 'reach')} {name()}{at()}{w()}{dot()}{tld()}",
+        lambda: f"{seen('mail', 'contact')} {name()}{r.choice([' @ ', ' @', '@ ', '＠'])}{w()}{r.choice(['.', ' . '])}{tld()}",
+        lambda: f"{seen('mail', 'contact')} {name()}@{w()}.{tld()}",
+        lambda: f"{seen('call', 'phone', 'tel.', 'mobile', 'fax')} +{d(2)} {d(3)} {d(3)} {d(4)}",
+        lambda: f"{r.choice(['call', 'phone', 'tel.', 'tel:', 'mobile', 'fax', 'cell', 'telephone', 'ring', 'text me on', 'my number is'])} {local()}",
+        lambda: f"{seen('call', 'phone', 'tel.')} 00{r.choice(['44', '49', '1', '33'])} {d(3)} {d(3)} {d(4)}",
+        lambda: f"{seen('card', 'visa', 'pay with', 'charged to')} {four(card(), r.choice(['.', '  ', '_', '/', '-', ' ', '']))}",
+        lambda: f"{seen('iban', 'account', 'konto', 'transfer to')} {r.choice(['DE', 'GB', 'FR', 'NL', 'ES'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}",
+        lambda: f"{r.choice(['ssn', 'social security', 'ssn is', 'social security number:', 'ssn:'])} {d(3)}-{d(2)}-{d(4)}",
+        lambda: f"{seen('ip', 'host', 'login from', 'server addr', 'connected to', 'ip:')} {hexes(8)}",
+        lambda: f"{seen('ip', 'host', 'login from', 'ping')} {hexes(r.randint(1, 4))}::{hexes(r.randint(1, 4))}",
+        lambda: f"{seen('ip', 'host', 'login from')} {'.'.join(octet() for _ in range(4))}",
+        lambda: f"{seen('ip', 'host', 'login from')} {r.choice(['[.]', '(.)', ' . ']).join(octet() for _ in range(4))}",
     ]
     false = [
-        lambda: f"{w()} {w()} at {w()}.{w()} {w()}",
-        lambda: f"{w()} was at {w()}.{w()} {w()}",
-        lambda: f"{w()} at home dot {w()} {w()}",
-        lambda: f"{r.choice(['date', 'page', 'ref', 'order', w()])} {d(4)} {d(3)} {d(4)} {w()}",
-        lambda: f"{r.choice(['isbn', 'part', 'serial', w()])} {d(3)}-{d(3)}-{d(4)} {w()}",
-        lambda: f"{r.choice(['total', 'score', w()])} {d(2)} {d(3)} {d(3)} {w()}",
-        lambda: f"{r.choice(['order', 'lot', w()])} {four('1' + d(15), r.choice(['.', '  ', '_', '/', '-']))} {w()}",
-        lambda: f"{r.choice(['ref', 'serial', w()])} AB{d(2)} {d(4)} {d(4)} {d(4)} {w()}",
-        lambda: f"{r.choice(['id', 'lot', w()])} {d(3)}-{d(2)}-{d(4)} {w()}",
-        lambda: f"{r.choice(['version', w()])} {hexes(r.randint(4, 6))} {w()}",
-        lambda: f"{w()} {d(2)}:{d(2)}:{d(2)}:{d(2)} {w()}",
+        lambda: f"{w()} {w()} at {w()}.{w()}x",
+        lambda: f"{w()} was at {w()}.{w()}q {w()}",
+        lambda: f"{w()} at {r.choice(['home', 'noon', w()])} dot {w()}q",
+        lambda: f"{w()} @ {w()}{r.choice(['.', ' . '])}{w()}q",
+        lambda: f"{seen('date', 'page', 'ref', 'order', 'invoice')} {d(4)} {d(3)} {d(4)}",
+        lambda: f"{seen('isbn', 'part', 'serial', 'order')} {d(3)}-{d(3)}-{d(4)}",
+        lambda: f"{seen('total', 'score', 'sum')} {d(2)} {d(3)} {d(3)}",
+        lambda: f"{seen('order', 'lot', 'ref', 'serial')} {bad()}",
+        lambda: f"{seen('ref', 'serial')} AB{d(2)} {d(4)} {d(4)} {d(4)}",
+        lambda: f"{seen('id', 'lot', 'part')} {d(3)}-{d(2)}-{d(4)}",
+        lambda: f"{seen('version', 'time', 'build')} {hexes(r.randint(4, 6))}",
+        lambda: f"{w()} {d(2)}:{d(2)}:{d(2)}:{d(2)}",
+        lambda: f"{r.choice(['std', w()])}::{w()}",
+        lambda: f"{w()} +{d(2)} {d(2)} {d(3)}",
+        lambda: f"{seen('version', 'release', 'section')} {octet()}.{octet()}.{octet()}.{r.randint(256, 999)}",
+        lambda: f"{seen('version', 'scores')} {r.choice([' . ', '. ']).join(str(r.randint(256, 999)) for _ in range(4))}",
+        lambda: f"{seen('order', 'lot')} 00{d(10)}",
+        lambda: f"{seen('order', 'part', 'ref')} 0{d(2)}-{d(7)}",
     ]
     return [(f"{w()} {w()} {r.choice(true if i % 2 else false)()} {w()}", i % 2) for i in range(count)]
 
@@ -319,7 +356,8 @@ def fitted(spark: SparkSession) -> tuple[list, dict[str, float]]:
     app = spark.sparkContext.applicationId
     if app in _fitted:
         return _fitted[app]
-    seen = candidates(examples_table(spark)).select("held", "label", F.explode("proposed").alias("s"))
+    # Written, so that features are worked out from a column and not from the generators' expressions again.
+    seen = written(candidates(examples_table(spark)).select("held", "label", "proposed"), "span-examples").select("held", "label", F.explode("proposed").alias("s"))
     x = seen.select("held", "s.kind", "label", *[c.alias(n) for n, c in features(F.col("s")).items()])
     vectors = VectorAssembler(inputCols=NAMES, outputCol="features").transform(x).select("held", "kind", F.col("label").cast("double").alias("label"), "features", *NAMES)
     learn, held = vectors.filter("not held").cache(), vectors.filter("held").cache()
@@ -342,14 +380,21 @@ def margin(trees: list, x: dict[str, Column]) -> Column:
     return sum((_evaluated(t, x) * w for t, w in trees), F.lit(0.0))
 
 
+#: Margin of base spans, past any that trees give.
+BASE_MARGIN = 1e9
 SCORED = "struct<m:double,kind:string,start:bigint,stop:bigint,body:string>"
 
 
 def _chosen(spans: Column) -> Column:
-    """Of spans that stand by start, those left where of two that overlap the better (then the earlier) stays."""
+    """Of spans that stand by start, those left where of two that overlap the better (then the earlier) stays.
+
+    Base spans, of margin ``BASE_MARGIN``, are the best; such that overlap hold their places together."""
 
     def step(now: Column, s: Column) -> Column:
-        return F.when(now.isNotNull() & (s["start"] < now["stop"]) & (s["m"] <= now["m"]), now).otherwise(s)
+        meets = now.isNotNull() & (s["start"] < now["stop"])
+        both = meets & (s["m"] == BASE_MARGIN) & (now["m"] == BASE_MARGIN)
+        joint = F.struct(now["m"].alias("m"), now["kind"].alias("kind"), now["start"].alias("start"), F.greatest(now["stop"], s["stop"]).alias("stop"), now["body"].alias("body"))
+        return F.when(both, joint).when(meets & (s["m"] <= now["m"]), now).otherwise(s)
 
     def last(t: Column) -> Column:
         # The state after item i stays if the next item doesn't overlap it: it can't be replaced any more.
@@ -366,11 +411,20 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found = candidates(base_spans(docs, text), text)
     scored = F.transform("proposed", lambda s: F.struct(margin(trees, features(s)).alias("m"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["body"].alias("body")))
     enough = lambda s: functools.reduce(lambda a, b: a | b, [(s["kind"] == k) & (s["m"] >= m) for k, m in least.items()])
-    sure = F.transform("again", lambda s: F.struct(F.lit(1e9).alias("m"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["body"].alias("body")))
-    by_start = F.array_sort(F.transform(F.concat(sure, F.filter(scored, enough)), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s.alias("s"))))
-    best = _let(F.transform(by_start, lambda k: k["s"]), lambda spans: F.transform(_chosen(spans), lambda s: s.dropFields("m")).cast(SPAN))
-    some = found.withColumn("_added", F.when(F.size("proposed") + F.size("again") > 0, best).otherwise(F.array().cast(SPAN)))
-    return some.withColumn("spans", F.when(F.size("_added") > 0, _by_place(F.concat("base", "_added"))).otherwise(F.col("base"))).drop("proposed", "again", "_added")
+    found = found.withColumn("_accepted", F.filter(scored, enough)).drop("proposed")
+    sure = F.transform("base", lambda s: F.struct(F.lit(BASE_MARGIN).alias("m"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["body"].alias("body")))
+    by_start = F.array_sort(F.transform(F.concat(sure, "_accepted"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s.alias("s"))))
+    added = lambda spans: F.filter(_chosen(spans), lambda s: s["m"] != BASE_MARGIN)
+    best = _let(F.transform(by_start, lambda k: k["s"]), lambda spans: F.transform(added(spans), lambda s: s.dropFields("m")).cast(SPAN))
+    # Accepted base-like candidates are mostly base spans themselves; only where there are others is there a choice.
+    others = (F.col("_run_into") > 0) | F.exists("_accepted", lambda s: ~_is_base(s))
+    some = found.withColumn("_added", F.when(others, best).otherwise(F.array().cast(SPAN)))
+    return some.withColumn("spans", F.when(F.size("_added") > 0, _by_place(F.concat("base", "_added"))).otherwise(F.col("base"))).drop("_accepted", "_added", "_run_into")
+
+
+def _is_base(s: Column) -> Column:
+    """Whether a candidate is a valid match of its kind's base pattern."""
+    return functools.reduce(lambda a, k: a | ((s["kind"] == k) & F.rlike(s["body"], F.lit(f"^{BASE[k]}$")) & _valid(k, s["body"])), BASE, F.lit(False))
 
 
 def joined(spans: str) -> Column:
