@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caselode.plans import admissions, attention, candidates, cases, catalogue, encoding, evaluation, generation, graphs, ranking, records, retrieval, samples, scoring, serving, sets, streams, texts  # noqa: F401
+from caselode.plans import admissions, attention, candidates, cases, catalogue, encoding, evaluation, generation, graphs, ranking, records, recurrent, retrieval, samples, scoring, serving, sets, streams, texts  # noqa: F401
 from caselode.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
