@@ -40,7 +40,7 @@ WINDOW, GRAM = 50, 24
 #: Windows of one run at most; longer ones (of repeated bytes) are cut.
 LONGEST_RUN = 100
 #: Text of a chunk and of a bucket of anchors; suffixes in one construction; windows hashed at a time.
-CHUNK_BYTES, BUCKET_BYTES, BATCH, BLOCK = 4 << 20, 8 << 20, 1 << 16, 1 << 15
+CHUNK_BYTES, BUCKET_BYTES, BATCH, BLOCK = 4 << 20, 4 << 20, 1 << 16, 1 << 15
 FACTOR = 0x9E3779B97F4A7C15
 CHUNK = "chunk long, ids array<long>, ends array<long>, data binary"
 RUN = np.dtype([("piece", "<u4"), ("start", "u1"), ("length", "u1"), ("owner", "<i8")])
@@ -220,7 +220,7 @@ def anchors_sent(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.select("chunk", "ids", "ends", "data").mapInArrow(run, names)
 
 
-def anchors_shared(sent: DataFrame) -> DataFrame:
+def anchors_shared(sent: DataFrame, buckets: int) -> DataFrame:
     """Per chunk and bucket, which of its anchors two or more documents have."""
     names = "chunk long, bucket int, anchors binary"
 
@@ -236,7 +236,7 @@ def anchors_shared(sent: DataFrame) -> DataFrame:
                 out.append((chunk, key[0].as_py(), own.tobytes()))
         return pa.Table.from_batches([_batch(names, [[r[k] for r in out] for k in range(3)])])
 
-    return sent.groupBy("bucket").applyInArrow(run, names)
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, names)
 
 
 def per_chunk(rows: DataFrame, column: str) -> DataFrame:
@@ -268,7 +268,7 @@ def pieces_sent(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.select("chunk", "ids", "ends", "data", "anchors").mapInArrow(run, names)
 
 
-def owners_found(pieces: DataFrame) -> DataFrame:
+def owners_found(pieces: DataFrame, buckets: int) -> DataFrame:
     """Per chunk and bucket, runs of windows whose least owner is smaller than the chunk's own least id for that string."""
     names = "chunk long, bucket int, owners binary"
 
@@ -306,7 +306,7 @@ def owners_found(pieces: DataFrame) -> DataFrame:
             out.append((chunk, key[0].as_py(), runs.tobytes()))
         return pa.Table.from_batches([_batch(names, [[r[k] for r in out] for k in range(3)])])
 
-    return pieces.groupBy("bucket").applyInArrow(run, names)
+    return pieces.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, names)
 
 
 def construct(texts: list[bytes], anchors: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -391,8 +391,8 @@ def remove_repeats(docs: DataFrame, id_: str, text: str, chunk_bytes: int = CHUN
     buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // bucket_bytes))
     chunks = bucketed(chunks_of(rows, chunk_bytes), "chunk", max(buckets, -(-total // chunk_bytes)), "repeats")
     # The lists that chunks get are small beside them: they are the side that is hashed, and chunks stay where they are.
-    shared = written(per_chunk(anchors_shared(anchors_sent(chunks, buckets)), "anchors"), "anchors").hint("shuffle_hash")
-    owners = per_chunk(owners_found(pieces_sent(chunks.join(shared, "chunk"), buckets)), "owners").hint("shuffle_hash")
+    shared = written(per_chunk(anchors_shared(anchors_sent(chunks, buckets), buckets), "anchors"), "anchors").hint("shuffle_hash")
+    owners = per_chunk(owners_found(pieces_sent(chunks.join(shared, "chunk"), buckets), buckets), "owners").hint("shuffle_hash")
     return kept_bytes(chunks.join(shared, "chunk", "left").join(owners, "chunk", "left"), buckets)
 
 
