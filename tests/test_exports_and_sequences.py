@@ -85,3 +85,22 @@ def test_retrievers(spark):
     assert [tuple(x) for x in retrieval.hydrated(candidates, names, "doc_id", "skip").select("doc_id", "rank", "name").collect()] == [(1, 1, "one")]
     with pytest.raises(Exception, match="not in the catalogue: 3"):
         retrieval.hydrated(candidates, names, "doc_id").collect()
+
+
+def test_case_report_takes_first_clean_answers(spark):
+    from caselode.operators.reports import HEAD, NONE, case_report, selected_records
+
+    schema = "run int, variant string, top_k int, seq int, patient_id string, success boolean, errors array<string>, selected array<string>, items array<struct<drugid:string,evidence_ids:array<string>,reason:string>>"
+    item = [("7", ["e1", "e2"], "why")]
+    rows = [(0, "v", 5, 2, "b", True, [], ["7"], item), (0, "v", 5, 1, "a", False, ["generation_failed"], [], []), (0, "v", 5, 3, "b", True, [], ["8"], []), (1, "w", 5, 1, "b", True, ["x"], ["7"], item), (1, "w", 5, 2, "c", True, [], [], []), (1, "w", 5, 3, "b", True, [], ["9"], item)]
+    cases = spark.createDataFrame([("a", 1, "F", ["d"], [], [], ["7"]), ("b", 2, "M", [], ["s"], ["m"], ["7", "8"])], "patient_id string, age int, gender string, diagnosis array<string>, symptom array<string>, on_medicine array<string>, gold array<string>")
+    records = spark.createDataFrame(rows, schema)
+    got = selected_records(records, cases)
+    assert [(r.place, r.variant, r.selected) for r in got.orderBy("place").collect()] == [(1, "v", ["7"]), (2, "w", ["9"])]
+    lines = [r.line for r in case_report(got).orderBy("place").collect()]
+    assert lines[:4] == HEAD
+    assert lines[4] == "## 案例 1"
+    assert "- 命中 gold：7" in lines
+    assert "- 命中 gold：None" in lines
+    assert "- 解释 1：drugid=7；证据=e1, e2；理由=why" in lines
+    assert [r.line for r in case_report(selected_records(records, cases, 6).limit(0)).orderBy("place").collect()] == HEAD + NONE
