@@ -179,7 +179,11 @@ def digests(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield batch_of([row()])
 
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "formatted")
+    # Turns of one number go by role and text as they were, before escapes.
+    plain = lambda c: F.regexp_replace(c, _UNESCAPE.pattern, "")
+    role = plain(F.substring(F.substring_index("formatted", "|>\n", 1), 3, 1 << 30))
+    text = plain(F.regexp_extract("formatted", r"(?s)^.*?\|>\n(.*)<\|end\|>\n$", 1))
+    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", role, text)
     return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
