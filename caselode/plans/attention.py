@@ -43,6 +43,7 @@ e AS (SELECT l_orderkey AS case_id, l_suppkey AS ev, substr(p_brand, 7)::BIGINT
 ev0 AS (SELECT DISTINCT case_id, ev AS id, v FROM e JOIN vec ON vec_id = ev), en0 AS (SELECT DISTINCT case_id, en AS id, v FROM e JOIN vec ON vec_id = en)"""
 
 
+# Sums of 0.0 in the SQL below turn a rounded -0.0 into 0.0, as Spark rounds.
 def _round_sql(k: str, score: str, to: str, source: str, old: str, new: str, sources: str, update: str) -> str:
     """One direction of a layer: shares of the edges into ``to``, messages, new vectors."""
     return f""", {k}s AS (SELECT e.case_id, e.ev, e.en, e.n, {score} AS s, src.v AS v FROM e JOIN {sources} src ON src.case_id = e.case_id AND src.id = e.{source} JOIN {old} dst ON dst.case_id = e.case_id AND dst.id = e.{to} JOIN qu ON qu.case_id = e.case_id),
@@ -58,7 +59,7 @@ def pair_sql(layers: int) -> str:
         update = f"{_sql('m.m', MIX)}, {_sql('o.v', MIX)}"
         sql += _round_sql(f"a{k}", score, "en", "ev", f"en{k}", f"en{k + 1}", f"ev{k}", update)
         sql += _round_sql(f"b{k}", score, "ev", "en", f"ev{k}", f"ev{k + 1}", f"en{k + 1}", update)
-    return sql + f" SELECT x.case_id, id AS entity, round(list_dot_product({_sql('x.v', ANSWER)}, q), 5) AS logit FROM en{layers} x JOIN qu ON qu.case_id = x.case_id"
+    return sql + f" SELECT x.case_id, id AS entity, round(list_dot_product({_sql('x.v', ANSWER)}, q), 5) + 0.0 AS logit FROM en{layers} x JOIN qu ON qu.case_id = x.case_id"
 
 
 def query_sql(layers: int) -> str:
@@ -66,7 +67,7 @@ def query_sql(layers: int) -> str:
     for k in range(layers):
         sql += _round_sql(f"a{k}", f"list_dot_product({_sql('src.v', SCORE)}, q)", "en", "ev", f"en{k}", f"en{k + 1}", f"ev{k}", f"{_sql('m.m', MIX)}, o.v")
         sql += _round_sql(f"b{k}", f"list_dot_product({_sql('src.v', ANSWER)}, q)", "ev", "en", f"ev{k}", f"ev{k + 1}", f"en{k + 1}", f"{_sql('m.m', BACK)}, o.v")
-    head = lambda kind, t, taps, bias: f"SELECT x.case_id, '{kind}' AS kind, id AS node, round(list_dot_product(list_transform(generate_series(1, len(x.v)), lambda i: {' + '.join(f'({c}) * x.v[(i - 1 + {k}) % len(x.v) + 1]' for k, c in taps.items())}), q) + {bias}, 5) AS logit FROM {t} x JOIN qu ON qu.case_id = x.case_id"
+    head = lambda kind, t, taps, bias: f"SELECT x.case_id, '{kind}' AS kind, id AS node, round(list_dot_product(list_transform(generate_series(1, len(x.v)), lambda i: {' + '.join(f'({c}) * x.v[(i - 1 + {k}) % len(x.v) + 1]' for k, c in taps.items())}), q) + {bias}, 5) + 0.0 AS logit FROM {t} x JOIN qu ON qu.case_id = x.case_id"
     return sql + f" {head('entity', f'en{layers}', ANSWER, 0.1)} UNION ALL {head('evidence', f'ev{layers}', BACK, -0.2)}"
 
 

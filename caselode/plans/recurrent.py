@@ -59,7 +59,7 @@ s AS (SELECT k, 0::BIGINT AS place, {ZERO} AS hc, {ZERO} AS hm, {ZERO} AS hj FRO
 t AS (SELECT x.k, x.o, {_each(f"x.a, {_sql(_sql('s.hj', SIZE, SIZE, 40), SIZE, SIZE, 41)}", "p[1] + p[2]")} AS seen FROM x JOIN s ON s.k = x.k AND s.place = x.place),
 c AS (SELECT k, o, list_transform(seen, lambda v: v - list_avg(seen)) AS c FROM t), n AS (SELECT k, o, list_transform(c, lambda v: v / sqrt(list_avg(list_transform(c, lambda w: w * w)) + 0.00001)) AS v FROM c),
 p AS (SELECT k, o, {_sql(RELU.format(_sql("v", SIZE, 2 * SIZE, 42)), 2 * SIZE, OUT, 43)} AS l FROM n)
-SELECT k AS patient_id, o AS admission_id, round(l[1], 5) AS first, round(l[2], 5) AS second, round(l[3], 5) AS third FROM p""")
+SELECT k AS patient_id, o AS admission_id, round(l[1], 5) + 0.0 AS first, round(l[2], 5) + 0.0 AS second, round(l[3], 5) + 0.0 AS third FROM p""")
 def admission_sequence_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every admission's logits after the patient's admissions up to it."""
     share = lambda c: F.when(c, 1.0).otherwise(0.0)
