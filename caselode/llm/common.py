@@ -8,6 +8,10 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from caselode.sources.shipping import ship
+
+__all__ = ["bucketed", "drop_written", "kept", "new_path", "shared_dir", "ship", "table", "written"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -61,30 +65,3 @@ def drop_written(df_or_path, spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that tasks can import it wherever they run."""
-    import io
-    import os
-    import zipfile
-
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for folder, _, names in os.walk(here):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    path = os.path.join(folder, n)
-                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
-    to = os.path.join(tempfile.mkdtemp(prefix="caselode-"), "caselode.zip")
-    with open(to, "wb") as f:
-        f.write(packed.getvalue())
-    spark.sparkContext.addPyFile(to)
-    _shipped.add(app)
