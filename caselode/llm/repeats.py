@@ -37,8 +37,8 @@ from caselode.llm.common import bucketed, table, written
 from caselode.llm.suffixes import window_minima
 
 WINDOW, GRAM = 50, 24
-#: Windows of one run at most; longer ones (of repeated bytes) are cut.
-LONGEST_RUN = 100
+#: Windows of one run at most, as many as one place of a gram can rule; longer ones (of repeated grams) are cut.
+LONGEST_RUN = WINDOW - GRAM + 1
 #: Text of a chunk and of a bucket of anchors; suffixes in one construction; windows hashed at a time.
 CHUNK_BYTES, BUCKET_BYTES, BATCH, BLOCK = 4 << 20, 4 << 20, 1 << 16, 1 << 15
 FACTOR = 0x9E3779B97F4A7C15
