@@ -27,9 +27,11 @@ from caselode.llm.vectors import SPREAD, collapsed, finite, shards_for, top_k
 
 #: A search ends once at most this share of a shard may be members: rescoring is one product of matrices, whose components cost
 #: about a tenth of a visited posting.
-MEMBERS = 0.5
+MEMBERS = 0.6
 #: Nodes of the highest bounds, so many times k, are rescored after each portion for the k-th best score so far.
 PROBES = 8
+#: Share of the postings before the first bound is drawn; earlier ones exclude hardly a node.
+FIRST = 0.3
 INDEX = "shard string, dim int, nodes long, vectors binary, ids array<array<long>>, postings binary, seg_dim binary, seg_start binary, seg_low binary, seg_high binary"
 
 
@@ -53,7 +55,7 @@ def build_segments(v: np.ndarray, levels: int = 64) -> dict[str, np.ndarray]:
     return {"postings": np.concatenate(postings).astype(np.int32), "seg_dim": np.array(dims, np.int64), "seg_start": np.array([*starts, at], np.int64), "seg_low": np.array(lows, np.int64), "seg_high": np.array(highs, np.int64)}
 
 
-def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k: int, portions: int = 32) -> tuple[np.ndarray, np.ndarray, float]:
+def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k: int, portions: int = 16) -> tuple[np.ndarray, np.ndarray, float]:
     """(every node whose exact score may be among the k best, its score, share of the postings that were visited)."""
     n, d = v.shape
     most = d * float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0))
@@ -71,25 +73,26 @@ def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k:
     by_dim = order[np.argsort(seg["seg_dim"][order], kind="stable")]
     starts = np.searchsorted(seg["seg_dim"][by_dim], np.arange(d + 1))
     gone = np.zeros(d, np.int64)
-    acc, unmet = np.zeros(n), np.ones((n, d))
+    # Sums of what is left are whole numbers, which short floats hold up to 2^24.
+    acc, unmet = np.zeros(n), np.ones((n, d), np.float32 if d * float(np.abs(gain).max()) < 2.0**24 else np.float64)
+    flat = unmet.reshape(-1)
     at, alive, floor = 0, np.arange(n), -np.inf
-    for goal in np.linspace(0, n * d, portions + 1)[1:]:
+    for goal in np.linspace(FIRST, 1, portions + 1) * n * d:
         to = min(len(order), int(np.searchsorted(total, goal)) + 1)
         if to > at:
             s = order[at:to]
             index = np.repeat(seg["seg_start"][s] - np.r_[0, np.cumsum(lengths[s])[:-1]], lengths[s]) + np.arange(lengths[s].sum())
-            nodes = seg["postings"][index]
+            nodes = seg["postings"][index].astype(np.int64)
             acc += np.bincount(nodes, weights=np.repeat(gain[s], lengths[s]), minlength=n)
-            unmet[nodes, np.repeat(seg["seg_dim"][s], lengths[s])] = 0
+            flat[nodes * d + np.repeat(seg["seg_dim"][s], lengths[s])] = 0
             gone += np.bincount(seg["seg_dim"][s], minlength=d)
             at = to
         rest = starts[:-1] + gone
         left = np.where(rest < starts[1:], gain[by_dim[np.minimum(rest, len(by_dim) - 1)]], 0)
-        bound = acc[alive] + unmet[alive] @ left
-        if len(alive) >= k:
-            probes = alive[np.argpartition(-bound, min(PROBES * k, len(alive)) - 1)[: PROBES * k]]
-            floor = max(floor, int(np.partition(v[probes] @ q, -k)[-k]))
-        alive = alive[bound >= floor]
+        bound = acc + unmet @ left.astype(unmet.dtype)
+        probes = np.argpartition(-bound, min(PROBES * k, n) - 1)[: PROBES * k]
+        floor = max(floor, int(np.partition(v[probes] @ q, -k)[-k]))
+        alive = np.flatnonzero(bound >= floor)
         # The proof holds at any time; it ends the search once it leaves few nodes enough.
         if len(alive) <= max(k, MEMBERS * n) or at >= len(order):
             break
