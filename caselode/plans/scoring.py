@@ -77,10 +77,12 @@ def _by_component(out: DataFrame) -> DataFrame:
 def mllib_pointwise_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point-wise logistic scorer: trained on the vector table, ranked within each group of 100 ids."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.when(F.col("label") % 2 == 0, 1.0).otherwise(0.0).alias("label"))
-    model = LogisticRegression(maxIter=10, regParam=0.01).fit(rows)
-    scored = model.transform(rows).select("vec_id", F.floor(F.col("vec_id") / 100).alias("group_id"), F.round(vector_to_array("probability")[1], 4).alias("score"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.when(F.col("label") % 2 == 0, 1.0).otherwise(0.0).alias("label"))
+    model = LogisticRegression(maxIter=10, regParam=0.01).fit(rows.select(array_to_vector("v").alias("features"), "label"))
+    # Scored by columns: the model's own transform goes through Scala functions, whose converters can't always be sent to tasks.
+    margin = S.dot("v", F.array(*[F.lit(float(x)) for x in model.coefficients])) + F.lit(float(model.intercept))
+    scored = rows.select("vec_id", F.floor(F.col("vec_id") / 100).alias("group_id"), F.round(S.sigmoid(margin), 4).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("score"), "vec_id")))

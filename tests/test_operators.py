@@ -11,6 +11,7 @@ from caselode.plans.ranking import frozen
 from caselode.plans.serving import search_category
 from caselode.sources.tables import last_by_key, read_jsonl, read_or_empty, write_jsonl
 from caselode.streaming.windows import windowed_counts
+from tests.conftest import DATA
 
 
 def one(spark, column, row="1 x"):
@@ -143,3 +144,12 @@ def test_bm25_finds_chinese_inside_a_run(spark):
     for variant in ("okapi", "lucene"):
         got = retrieval.bm25_topk(q, docs, 5, variant=variant).collect()
         assert sorted((r.query_id, r.doc_id) for r in got) == [(1, 1), (2, 3)]
+
+
+def test_pointwise_scores_are_plain_columns(spark):
+    """No Scala function is in the plan: its converters could not be sent to tasks in a long session."""
+    found = scoring.mllib_pointwise_rank(spark, f"{DATA}/sf0.001")
+    assert "UDF" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert rows
+    assert all(0 <= r.score <= 1 for r in rows)
