@@ -107,3 +107,17 @@ def test_admission_graph_with_hot_nodes(spark):
     lists = admissions.admission_graphs(admissions.admission_edges(cases, edges, 99, 10)).collect()
     assert len(lists) == 60
     assert [x.rel for x in lists[0].edges] == sorted(x.rel for x in lists[0].edges)
+
+
+def test_admission_sums_are_those_of_the_edges(spark):
+    """Sums of a node's edges, broadcast or dealt, are what the edges of each case add up to."""
+    cases = spark.createDataFrame([(i, [1, 2 + i % 3], [1 + i % 4, 5]) for i in range(30)] + [(30, [], [6]), (31, [7], [])], "case_id long, diagnosis array<long>, procedure array<long>")
+    edges = admissions.global_edges(cases, 10)
+    for aligned in (False, True):
+        want = {}
+        for c, s, d, r in admissions.admission_edges(cases, edges, 99, 10, aligned).collect():
+            n, a, b, p = want.get((c, r), (0, 0, 0, 0))
+            want[c, r] = (n + 1, a + s, b + d, p + s * d)
+        for few in (0, 100):
+            got = admissions.admission_sums(cases, edges, 99, 10, aligned, few=few, hot=7).collect()
+            assert {(x.case_id, x.rel): (x.edges, x.src_sum, x.dst_sum, x.pair_sum) for x in got} == want
