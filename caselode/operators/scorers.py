@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselode.operators.vector_sums import linear, vector_sums
+from caselode.operators.vector_sums import linear, near, neighbour_sums, vector_sums
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -35,7 +35,7 @@ def attention_pool(rows: DataFrame, key: str, score: str, value: str) -> DataFra
 
 def message_pass(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One bipartite layer: weighted sums of neighbours' vectors; ``edges`` (dst, src, w), ``nodes`` (src, v)."""
-    return vector_sums(edges.join(nodes, "src"), ["dst"], "w", "v").select("dst", "v")
+    return neighbour_sums(edges, nodes, ["src"])
 
 
 def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
@@ -43,7 +43,7 @@ def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, np.
 
     ``edges`` (dst, src, rel), ``nodes`` (src, v); ``weights`` has a square matrix per relation.
     """
-    joined = edges.join(nodes, "src").withColumn("w", F.lit(1.0))
-    per = vector_sums(joined, ["dst", "rel"], "w", "v").withColumn("w", 1 / F.col("total"))
-    added = vector_sums(linear(per, "v", weights, "rel"), ["dst"], "w", "v")
-    return added.select("dst", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))).alias("v"))
+    # A matrix times a mean is the mean of what the matrix makes of the nodes, of which there are fewer than edges.
+    kinds = nodes.withColumn("rel", F.explode(F.array(*[F.lit(r).cast(dict(edges.dtypes)["rel"]) for r in weights])))
+    turned = linear(kinds.select("src", "rel", "v"), "v", weights, "rel")
+    return neighbour_sums(edges.withColumn("w", F.lit(1.0)), turned, ["src", "rel"], ["rel"], relu=True, small=near(nodes, "v"))

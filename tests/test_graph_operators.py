@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselode.operators import admissions, attention, paths
-from caselode.operators.vector_sums import vector_sums
+from caselode.operators.vector_sums import neighbour_sums, vector_sums
 
 EDGES = "edge_id string, rel string, src string, dst string"
 NODES = "id string, label string, name string, number string"
@@ -121,3 +121,21 @@ def test_admission_sums_are_those_of_the_edges(spark):
         for few in (0, 100):
             got = admissions.admission_sums(cases, edges, 99, 10, aligned, few=few, hot=7).collect()
             assert {(x.case_id, x.rel): (x.edges, x.src_sum, x.dst_sum, x.pair_sum) for x in got} == want
+
+
+def test_neighbour_sums_over_batches(spark):
+    """Vectors are added as they come, with the same sums as after a shuffle, whatever the batches cut."""
+    r = np.random.default_rng(3)
+    rows = [(int(d), int(s), int(s % 2), float(w)) for d, s, w in zip(r.integers(0, 40, 3000), r.integers(0, 20, 3000), r.normal(size=3000), strict=True)] + [(99, 3, 1, 1.0)] * 200
+    edges = spark.createDataFrame(rows, "dst long, src long, rel long, w double").repartition(5)
+    nodes = spark.createDataFrame([(i, r.normal(size=3).tolist()) for i in range(20)], "src long, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 32)
+    try:
+        for counted in (None, ["rel"]):
+            a, b = ({x.dst: x.v for x in neighbour_sums(edges, nodes, ["src"], counted, small=small).collect()} for small in (True, False))
+            assert len(a) == 41
+            assert a.keys() == b.keys()
+            assert all(np.allclose(a[k], b[k]) for k in a)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert neighbour_sums(edges.limit(0), nodes, ["src"]).count() == 0
