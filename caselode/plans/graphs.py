@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselode.plans.cases import RANKED, ranked_items
+from caselode.plans.cases import RANKED
 from caselode.plans.registry import query
 from caselode.sources.tables import case_diagnoses, case_symptoms, table
 
@@ -68,13 +68,25 @@ def bipartite_adj(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("symptom"), F.col("p_brand").alias("diagnosis")).distinct()
 
 
+#: Rows of a task where cases are brought together: what a task holds does not grow with the table.
+TASK_ROWS = 500_000
+
+
+def _by_case(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows``, about as many as ``lines``, with those of a case together."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, -(-lines.count() // TASK_ROWS)), "case_id")
+
+
 @query(f"""WITH {RANKED}, e AS (SELECT DISTINCT case_id, drug_id, p_type AS col FROM rk JOIN part ON drug_id = p_partkey)
 SELECT case_id, drug_id, col, round(1.0 / count(*) OVER (PARTITION BY case_id, col), 6) AS w FROM e""")
 def adj_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each case's adjacency, columns summing to 1."""
+    # A column's few items are held in its row: ranks aren't needed, and no window sorts what was made distinct.
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), F.col("p_type").alias("col"))
-    e = ranked_items(spark, sf_dir).select("case_id", "drug_id").join(parts, "drug_id").distinct()
-    return e.select("case_id", "drug_id", "col", F.round(1.0 / F.count("*").over(Window.partitionBy("case_id", "col")), 6).alias("w"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("drug_id")).join(parts, "drug_id")
+    held = _by_case(lines, table(spark, sf_dir, "lineitem")).groupBy("case_id", "col").agg(F.collect_set("drug_id").alias("x"))
+    return held.select("case_id", F.explode("x").alias("drug_id"), "col", F.round(1.0 / F.size("x"), 6).alias("w"))
 
 
 @query(f"""WITH {RANKED}, a AS (SELECT case_id, drug_id, rank, unnest([p_type, p_brand]) AS label, unnest([1, 2]) AS pos FROM rk JOIN part ON drug_id = p_partkey),
@@ -82,8 +94,12 @@ f AS (SELECT case_id, label, min(rank * 10 + pos) AS first FROM a GROUP BY 1, 2)
 SELECT a.case_id, a.drug_id, k.idx, a.label FROM (SELECT DISTINCT case_id, drug_id, label FROM a) a JOIN k ON a.case_id = k.case_id AND a.label = k.label WHERE idx <= 5""")
 def entity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities numbered as first seen, at most five a case; edges to later ones go."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), F.array("p_type", "p_brand").alias("labels"))
-    a = ranked_items(spark, sf_dir).join(parts, "drug_id").select("case_id", "drug_id", "rank", F.posexplode("labels").alias("pos", "label"))
+    # Labels first, then all of a case together: ranks, labels and caps need no other shuffle.  Items of one line and number rank alike.
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), "p_type", "p_brand", F.lit(True).alias("known"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("drug_id"), "l_linenumber")
+    items = _by_case(lines.join(parts, "drug_id", "left"), table(spark, sf_dir, "lineitem")).groupBy("case_id", "drug_id", "p_type", "p_brand", "known").agg(F.min("l_linenumber").alias("first_line"))
+    ranked = items.withColumn("rank", F.dense_rank().over(Window.partitionBy("case_id").orderBy("first_line", "drug_id")))
+    a = ranked.filter("known").select("case_id", "drug_id", "rank", F.posexplode(F.array("p_type", "p_brand")).alias("pos", "label"))
     first = a.groupBy("case_id", "label").agg(F.min(F.struct("rank", "pos")).alias("first"), F.collect_set("drug_id").alias("drugs"))
     capped = first.withColumn("idx", F.row_number().over(Window.partitionBy("case_id").orderBy("first", "label"))).filter("idx <= 5")
     return capped.select("case_id", F.explode("drugs").alias("drug_id"), "idx", "label")

@@ -158,3 +158,17 @@ def test_case_logits_by_rows_and_by_lists(spark):
     assert {c for c, *_ in a} == {c for c in range(30) if c % 5 < 4}
     assert a.keys() == b.keys()
     assert all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_cases_are_brought_together_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """More rows make more tasks, not larger ones, and results stay the same."""
+    from caselode.plans import graphs
+    from tests.conftest import DATA
+
+    for f in (graphs.adj_normalized, graphs.entity_cap):
+        want = sorted(map(tuple, f(spark, f"{DATA}/sf0.001").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(graphs, "TASK_ROWS", 500)
+            found = f(spark, f"{DATA}/sf0.001")
+            assert found.rdd.getNumPartitions() >= 10
+            assert sorted(map(tuple, found.collect())) == want
