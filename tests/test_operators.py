@@ -170,3 +170,14 @@ def test_texts_that_stand_for_copies(spark):
     for name, variant in (("bm25", "okapi"), ("pyserini_bm25", "lucene")):
         got = retrieval.retrieve([name], q.withColumnRenamed("text", "query"), docs, 4).collect()
         assert sorted((r.query_id, r.rank, r.doc_id, r.score) for r in got) == sorted((r.query_id, r.rank, r.doc_id, r.score) for r in retrieval.bm25_topk(q, whole, 4, variant=variant).collect())
+
+
+def test_terms_are_counted_in_slices(spark, monkeypatch):
+    """Slices of a batch give each document's counts, empty ones included."""
+    texts = ["a b a", "", None, "c", "b b b", "a c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(retrieval, "SLICE", 2)
+    got = {r.doc_id: (r.dl, dict(zip(r.terms, r.tfs, strict=True)), r.copies) for r in retrieval.counted_terms(docs).collect()}
+    assert {k: v[1] for k, v in got.items()} == {0: {"a": 2, "b": 1}, 1: {}, 2: {}, 3: {"c": 1}, 4: {"b": 3}, 5: {"a": 1, "c": 1}}
+    assert [got[k][0] for k in (0, 1, 3, 4, 5)] == [3, 0, 1, 3, 2]
+    assert all(v[2] == 1 for v in got.values())
