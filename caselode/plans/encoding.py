@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from caselode.operators.set_losses import similar_cases
 from caselode.plans.cases import RANKED, numbered, ranked_items
 from caselode.plans.registry import query
 from caselode.sources.tables import case_diagnoses, case_symptoms, table
@@ -69,6 +70,14 @@ def batched(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
     return placed.join(F.broadcast(first), "n").select("case_id", "n", F.floor((F.col("_place") - F.col("_first")) / size).alias("batch"))
 
 
+def in_batches(sets: DataFrame, size: int = 16) -> DataFrame:
+    """(n, batch, m): ``sets`` (case_id, s, ..) in batches as ``batched`` makes them, a batch's cases in one row."""
+    placed = numbered(sets.withColumn("n", F.size("s").cast("long")), ["n", "case_id"], "_place")
+    first = placed.groupBy("n").agg(F.min("_place").alias("_first"))  # one row a bucket
+    dealt = placed.join(F.broadcast(first), "n").withColumn("batch", F.floor((F.col("_place") - F.col("_first")) / size))
+    return dealt.groupBy("n", "batch").agg(F.array_sort(F.collect_list(F.struct(*sets.columns))).alias("m"))
+
+
 @query(f"WITH {SIZES} SELECT case_id, n, batch FROM b")
 def size_bucket_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batched(spark, sf_dir)
@@ -80,16 +89,9 @@ o AS (SELECT x.case_id, y.case_id AS other, x.n, (SELECT count(*) FROM s p JOIN
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY overlap DESC, other) AS k FROM o)
 SELECT b.case_id, CASE WHEN b.n <= 2 THEN b.case_id ELSE coalesce(r.other, b.case_id) END AS similar FROM b LEFT JOIN (SELECT * FROM r WHERE k = 1) r ON b.case_id = r.case_id""")
 def batch_similar_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch member of most common symptoms, the first on ties; itself where sets have two or fewer.
-
-    A batch holds at most 16 cases, which are compared inside its row.
-    """
+    """The batch member of most common symptoms, the first on ties; itself where sets have two or fewer."""
     sets = case_symptoms(spark, sf_dir).groupBy("case_id").agg(F.collect_set("symptom").alias("s"))
-    rows = batched(spark, sf_dir).join(sets, "case_id").groupBy("n", "batch").agg(F.array_sort(F.collect_list(F.struct("case_id", "s"))).alias("m"))
-    other = lambda x: F.filter("m", lambda y: y["case_id"] != x["case_id"])
-    overlaps = lambda x: F.transform(other(x), lambda y: F.struct((-F.size(F.array_intersect(x["s"], y["s"]))).alias("o"), y["case_id"].alias("case_id")))
-    pick = F.transform("m", lambda x: F.struct(x["case_id"].alias("case_id"), F.coalesce(F.array_min(overlaps(x))["case_id"], x["case_id"]).alias("similar")))
-    return rows.select("n", F.inline(pick)).select("case_id", F.when(F.col("n") <= 2, F.col("case_id")).otherwise(F.col("similar")).alias("similar"))
+    return similar_cases(in_batches(sets)).select("case_id", "similar")
 
 
 @query(f"WITH {RANKED}, s AS (SELECT *, CASE WHEN case_id % 10 < 6 THEN 'train' WHEN case_id % 10 < 8 THEN 'test' ELSE 'eval' END AS split FROM rk) SELECT split, count(DISTINCT case_id) AS cases, count(*) AS items, max(rank) AS longest FROM s GROUP BY 1")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.operators import set_losses as L
-from caselode.operators.scorers import dot
-from caselode.plans.encoding import SIZES, batch_similar_index, batched
+from caselode.plans.encoding import SIZES, in_batches
 from caselode.plans.registry import ORACLES, query
 from caselode.plans.sets import WEIGHTS
-from caselode.sources.tables import case_symptoms, table
+from caselode.sources.tables import table
 
 LOSSES = f"""WITH {SIZES}, sim AS ({ORACLES["batch_similar_index"]}), nb AS (SELECT sim.case_id, sim.similar AS near, n, batch FROM sim JOIN b USING (case_id)),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM v),
@@ -22,26 +22,25 @@ cv AS (SELECT case_id, list_transform(y, lambda q: q / greatest(sqrt(list_dot_pr
 cd AS (SELECT nb.case_id, a.d FROM nb JOIN dr a ON a.case_id = nb.case_id JOIN dr o ON o.case_id = nb.near AND o.d = a.d)"""
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """Similar cases, batches, drugs of cases, vectors of the common symptoms, the drugs' unit vectors."""
-    near, batches = batch_similar_index(spark, sf_dir), batched(spark, sf_dir)
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases beside their similar ones, vectors, the drugs' vectors.
+
+    A case is one row with its sets, so that similar cases, common and different parts come inside a batch's row."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    symptoms = case_symptoms(spark, sf_dir).withColumnRenamed("symptom", "id")
     part = table(spark, sf_dir, "part").select("p_partkey", F.expr("cast(substring(p_brand, 7) as bigint)").alias("drug"))
-    drugs = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("case_id"), "drug").distinct()
-    sets = L.set_vectors(L.common_items(near, symptoms, "id"), vectors, F.array(*[F.lit(WEIGHTS[i % len(WEIGHTS)]) for i in range(dims)]))
-    units = drugs.select("drug").distinct().join(vectors, F.col("drug") == F.col("id")).select("drug", F.transform("v", lambda x: x / F.greatest(F.sqrt(dot("v", "v")), F.lit(1e-12))).alias("v"))
-    return near, batches, drugs, sets, units
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").filter("l_orderkey is not null").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    sets = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_set("l_suppkey").alias("s"), F.collect_set("drug").alias("d"))
+    batches = in_batches(sets).persist(StorageLevel.DISK_ONLY)
+    drugs = batches.select(F.explode("m").alias("x")).select(F.explode("x.d").alias("id")).distinct()
+    return L.compared(L.similar_cases(batches)), vectors, drugs.join(vectors, "id")
 
 
 @query(LOSSES + """, z AS (SELECT nb.n, nb.batch, nb.case_id, coalesce(list_dot_product(cv.v, voc.v), 0.0) AS z, (cd.d IS NOT NULL)::INT AS y FROM nb CROSS JOIN voc LEFT JOIN cv ON cv.case_id = nb.case_id LEFT JOIN cd ON cd.case_id = nb.case_id AND cd.d = voc.d)
 SELECT n, batch, round(CASE WHEN sum(y) > 0 THEN avg(greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z)))) ELSE 0.0 END, 6) AS loss FROM z GROUP BY 1, 2""")
 def common_augmentation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy of common symptoms against common medicines, by batch; the vocabulary of medicines is held by the driver."""
-    near, batches, drugs, sets, units = _parts(spark, sf_dir)
-    vocabulary = [(r.drug, r.v) for r in units.orderBy("drug").collect()]
-    loss = L.augmentation_loss(near, batches, L.common_items(near, drugs, "drug"), sets, vocabulary)
+    pairs, vectors, drugs = _parts(spark, sf_dir)
+    loss = L.pair_augmentation(pairs, vectors, WEIGHTS, drugs)
     return loss.select("n", "batch", F.round("loss", 6).alias("loss"))
 
 
@@ -50,6 +49,6 @@ dm AS (SELECT case_id, list(x ORDER BY i) AS m FROM (SELECT case_id, i, avg(x) A
 SELECT n, batch, round(CASE WHEN count(m) > 0 THEN avg(coalesce(1 / (1 + exp(-list_dot_product(cv.v, m))), 0.5)) ELSE 0.0 END, 6) AS loss FROM nb LEFT JOIN cv USING (case_id) LEFT JOIN dm USING (case_id) GROUP BY 1, 2""")
 def interset_interaction_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How near common symptoms are to the medicines that differ, by batch, in units of the term's weight."""
-    near, batches, drugs, sets, units = _parts(spark, sf_dir)
-    loss = L.interset_loss(near, batches, L.different_items(near, drugs, "drug"), sets, units)
+    pairs, vectors, drugs = _parts(spark, sf_dir)
+    loss = L.pair_interset(pairs, vectors, WEIGHTS, drugs)
     return loss.select("n", "batch", F.round(F.col("loss") / L.INTERSET, 6).alias("loss"))

@@ -71,6 +71,34 @@ def test_set_losses(spark):
     assert between[3, 0] == 0
 
 
+def test_set_losses_of_rows_of_cases(spark):
+    r = np.random.default_rng(3)
+    cases = [(i, r.choice(9, 3, replace=False).tolist(), r.choice(6, r.integers(0, 4), replace=False).tolist()) for i in range(40)]
+    batches = spark.createDataFrame([(3, b, cases[8 * b : 8 * b + 8]) for b in range(5)], "n long, batch long, m array<struct<case_id long, s array<long>, d array<long>>>")
+    similar = set_losses.similar_cases(batches)
+    near = {x.case_id: x.similar for x in similar.collect()}
+    for i, s, _ in cases:
+        others = [x for x in cases[i // 8 * 8 : i // 8 * 8 + 8] if x[0] != i]
+        assert near[i] == min(others, key=lambda x: (-len({*s} & {*x[1]}), x[0]))[0]
+    vectors = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(5)], "id long, v array<double>")
+    weights = [0.5, -1.0, 0.25, 1.0]
+    pairs, drugs = set_losses.compared(similar), vectors.filter("id != 2")
+    units = [(x.id, (np.array(x.v) / np.linalg.norm(x.v)).tolist()) for x in drugs.orderBy("id").collect()]
+    table = lambda at, name: spark.createDataFrame([(x[0], y) for x in cases for y in x[at]], f"case_id long, {name} long")
+    pairs_of, sizes = similar.select("case_id", "similar"), similar.select("case_id", "n", "batch")
+    held, known = table(2, "drug"), table(2, "drug").filter("drug in (0, 1, 3, 4)")
+    sets = set_losses.set_vectors(set_losses.common_items(pairs_of, table(1, "id"), "id"), vectors, F.array(*map(F.lit, weights)))
+    augmented = set_losses.augmentation_loss(pairs_of, sizes, set_losses.common_items(pairs_of, known, "drug"), sets, units)
+    between = set_losses.interset_loss(pairs_of, sizes, set_losses.different_items(pairs_of, held, "drug"), sets, spark.createDataFrame(units, "drug long, v array<double>"))
+    for want, made in ((augmented, set_losses.pair_augmentation), (between, set_losses.pair_interset)):
+        wanted = {(x.n, x.batch): x.loss for x in want.collect()}
+        for small in (True, False):
+            assert {(x.n, x.batch): x.loss for x in made(pairs, vectors, weights, drugs, small).collect()} == pytest.approx(wanted)
+    none = drugs.filter("false")
+    assert set_losses.pair_augmentation(pairs, vectors, weights, none).count() == 0
+    assert {x.loss for x in set_losses.pair_interset(pairs, vectors, weights, none).collect()} == {0.0}
+
+
 def test_retrievers(spark):
     docs = spark.createDataFrame([(1, "red ring", "red ring"), (2, "blue bolt", "blue bolt"), (3, "red bolt", "red bolt")], "doc_id long, lexical string, dense string")
     asked = spark.createDataFrame([(10, "red ring"), (11, "")], "query_id long, query string")
