@@ -55,10 +55,20 @@ def build_segments(v: np.ndarray, levels: int = 64) -> dict[str, np.ndarray]:
     return {"postings": np.concatenate(postings).astype(np.int32), "seg_dim": np.array(dims, np.int64), "seg_start": np.array([*starts, at], np.int64), "seg_low": np.array(lows, np.int64), "seg_high": np.array(highs, np.int64)}
 
 
+def prepared(v: np.ndarray, seg: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The segments with what every query needs of them, worked out once: lengths, each posting's node and cell of the matrix, and the
+    vectors as doubles, whose products are machine matrix products."""
+    n, d = v.shape
+    lengths, nodes, values = np.diff(seg["seg_start"]), seg["postings"].astype(np.intp), v.astype(float)
+    cells = nodes * d + np.repeat(seg["seg_dim"], lengths)
+    return seg | {"lengths": lengths, "nodes": nodes, "cells": cells, "values": values, "first": np.searchsorted(seg["seg_dim"], np.arange(d + 1)), "largest": np.abs(values).max(initial=0)}
+
+
 def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k: int, portions: int = 16) -> tuple[np.ndarray, np.ndarray, float]:
     """(every node whose exact score may be among the k best, its score, share of the postings that were visited)."""
     n, d = v.shape
-    most = d * float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0))
+    seg = seg if "cells" in seg else prepared(v, seg)
+    most = d * float(seg["largest"]) * float(np.abs(q.astype(float)).max(initial=0))
     if n and most >= 2.0**62:
         # Past 64 bits no bound can be drawn in machine numbers: all nodes, in Python's integers, held to a long's range.
         exact = v.astype(object) @ q.astype(object)
@@ -66,12 +76,11 @@ def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k:
     if n <= k or most >= 2.0**52:  # sums are kept as doubles, which are whole numbers up to here
         return np.arange(n), v @ q, 1.0
     gain = np.maximum(q[seg["seg_dim"]] * seg["seg_low"], q[seg["seg_dim"]] * seg["seg_high"])
-    lengths = np.diff(seg["seg_start"])
-    order = np.argsort(-gain, kind="stable")
+    lengths, values, first, asked = seg["lengths"], seg["values"], seg["first"], q.astype(float)
+    order = np.argsort(-gain)
     total = np.cumsum(lengths[order])
-    # What a dimension can still give is its next segment's gain: of each dimension's segments in this order, the first not visited.
-    by_dim = order[np.argsort(seg["seg_dim"][order], kind="stable")]
-    starts = np.searchsorted(seg["seg_dim"][by_dim], np.arange(d + 1))
+    # What a dimension can still give is its next segment's gain.  Its segments lie by falling values, so by falling gains, or by rising
+    # ones where the query is negative.
     gone = np.zeros(d, np.int64)
     # Sums of what is left are whole numbers, which short floats hold up to 2^24.
     acc, unmet = np.zeros(n), np.ones((n, d), np.float32 if d * float(np.abs(gain).max()) < 2.0**24 else np.float64)
@@ -80,23 +89,29 @@ def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k:
     for goal in np.linspace(FIRST, 1, portions + 1) * n * d:
         to = min(len(order), int(np.searchsorted(total, goal)) + 1)
         if to > at:
-            s = order[at:to]
-            index = np.repeat(seg["seg_start"][s] - np.r_[0, np.cumsum(lengths[s])[:-1]], lengths[s]) + np.arange(lengths[s].sum())
-            nodes = seg["postings"][index].astype(np.int64)
-            acc += np.bincount(nodes, weights=np.repeat(gain[s], lengths[s]), minlength=n)
-            flat[nodes * d + np.repeat(seg["seg_dim"][s], lengths[s])] = 0
+            s = np.sort(order[at:to])
+            size = lengths[s]
+            index = np.repeat(seg["seg_start"][s] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            acc += np.bincount(seg["nodes"][index], weights=np.repeat(gain[s], size), minlength=n)
+            flat[seg["cells"][index]] = 0
             gone += np.bincount(seg["seg_dim"][s], minlength=d)
             at = to
-        rest = starts[:-1] + gone
-        left = np.where(rest < starts[1:], gain[by_dim[np.minimum(rest, len(by_dim) - 1)]], 0)
+        following = np.where(q >= 0, first[:-1] + gone, first[1:] - 1 - gone)
+        left = np.where(gone < np.diff(first), gain[np.clip(following, 0, len(gain) - 1)], 0)
         bound = acc + unmet @ left.astype(unmet.dtype)
         probes = np.argpartition(-bound, min(PROBES * k, n) - 1)[: PROBES * k]
-        floor = max(floor, int(np.partition(v[probes] @ q, -k)[-k]))
+        floor = max(floor, int(np.partition(values[probes] @ asked, -k)[-k]))
         alive = np.flatnonzero(bound >= floor)
         # The proof holds at any time; it ends the search once it leaves few nodes enough.
         if len(alive) <= max(k, MEMBERS * n) or at >= len(order):
             break
-    return alive, v[alive] @ q, float(total[at - 1]) / (n * d)
+    return alive, (values[alive] @ asked).astype(np.int64), float(total[at - 1]) / (n * d)
+
+
+def best_nodes(nodes: np.ndarray, scores: np.ndarray, k: int) -> tuple[list, list]:
+    """The nodes, and their scores, that no k others exceed; equal scores all stay."""
+    best = scores >= np.sort(scores)[-k] if len(scores) > k else np.ones(len(scores), bool)
+    return nodes[best].tolist(), scores[best].tolist()
 
 
 def build_index(vectors: DataFrame, shards: int, k: int) -> DataFrame:
@@ -133,12 +148,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     row = batch.slice(i, 1).to_pylist()[0]
                     v = np.frombuffer(row["vectors"], np.int64).reshape(row["nodes"], -1)
                     seg = {c: np.frombuffer(row[c], np.int32 if c == "postings" else np.int64) for c in ("postings", "seg_dim", "seg_start", "seg_low", "seg_high")}
-                    ids = row["ids"]
+                    seg, ids = prepared(v, seg), row["ids"]
                     continue
                 qid = batch.column("id")[i].as_py()
                 q = batch.column("vec")[i].values.to_numpy(zero_copy_only=False)
-                nodes, scores, _ = search_segments(v, seg, q, k + 1)
-                hits = sorted((-s, x) for s, node in zip(scores.tolist(), nodes.tolist(), strict=True) for x in ids[node] if x != qid)[:k]
+                nodes, scores = best_nodes(*search_segments(v, seg, q, k + 1)[:2], k + 1)
+                hits = sorted((-s, x) for s, node in zip(scores, nodes, strict=True) for x in ids[node] if x != qid)[:k]
                 for column, values in zip(out, ([qid] * len(hits), [x for _, x in hits], [-s for s, _ in hits]), strict=True):
                     column.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])

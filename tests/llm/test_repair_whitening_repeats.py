@@ -275,3 +275,18 @@ def test_one_id_with_two_vectors(spark):
     assert [(x.vec_id, x.score) for x in sorted(out, key=lambda x: x.rank)] == [(3, 63), (2, 21)]
     found = hnsw.search_index(hnsw.build_index(df.withColumn("vec", F.col("vec").cast("array<double>")), 2, 5), df.withColumn("vec", F.col("vec").cast("array<double>")).filter("id = 1"), 5)
     assert [x.vec_id for x in found.orderBy("rank").collect()] == [3, 2]
+
+
+def test_impact_index_hands_on_best_nodes_only():
+    from caselode.llm.impact_index import best_nodes, build_segments, prepared, search_segments
+
+    r = np.random.default_rng(4)
+    v = np.floor(256 * r.normal(size=(2000, 16))).astype(np.int64)
+    seg = prepared(v, build_segments(v))
+    for q in v[::250]:
+        whole = v @ q
+        nodes, scores = best_nodes(*search_segments(v, seg, q, 6)[:2], 6)
+        assert sorted(nodes) == np.flatnonzero(whole >= np.sort(whole)[-6]).tolist()
+        assert scores == whole[nodes].tolist()
+    past = np.array([1 << 62, -(1 << 63), (1 << 63) - 1], object)
+    assert best_nodes(np.arange(3), past, 2) == ([0, 2], [1 << 62, (1 << 63) - 1])
