@@ -30,8 +30,13 @@ from caselode.llm.vectors import SPREAD, collapsed, finite, shards_for, top_k
 MEMBERS = 0.6
 #: Nodes of the highest bounds, so many times k, are rescored after each portion for the k-th best score so far.
 PROBES = 8
-#: Share of the postings before the first bound is drawn; earlier ones exclude hardly a node.
-FIRST = 0.3
+#: Share of the postings before the first bound of a shard's first query is drawn; earlier ones exclude hardly a node.
+FIRST = 0.4
+#: A bound that leaves too many nodes is drawn again after this share more.  Each bound goes over all postings visited so far, so a
+#: query starts nearly where the one before it ended (``EASE`` less), and most draw only one.
+STEP, EASE = 0.05, 0.01
+#: A shard's vectors: larger shards have higher k-th best scores, and each query is sent to fewer of them.
+SHARD_ROWS, SHARD_BYTES = 16384, 16 << 20
 INDEX = "shard string, dim int, nodes long, vectors binary, ids array<array<long>>, postings binary, seg_dim binary, seg_start binary, seg_low binary, seg_high binary"
 
 
@@ -56,56 +61,55 @@ def build_segments(v: np.ndarray, levels: int = 64) -> dict[str, np.ndarray]:
 
 
 def prepared(v: np.ndarray, seg: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The segments with what every query needs of them, worked out once: lengths, each posting's node and cell of the matrix, and the
-    vectors as doubles, whose products are machine matrix products."""
+    """The segments with what every query needs of them, worked out once: lengths, each dimension's first segment, and the vectors as
+    floats, whose products are machine matrix products."""
     n, d = v.shape
-    lengths, nodes, values = np.diff(seg["seg_start"]), seg["postings"].astype(np.intp), v.astype(float)
-    cells = nodes * d + np.repeat(seg["seg_dim"], lengths)
-    return seg | {"lengths": lengths, "nodes": nodes, "cells": cells, "values": values, "first": np.searchsorted(seg["seg_dim"], np.arange(d + 1)), "largest": np.abs(values).max(initial=0)}
+    values = v.astype(float)
+    return seg | {"lengths": np.diff(seg["seg_start"]), "nodes": seg["postings"].astype(np.intp), "values": values, "short": v.astype(np.float32), "first": np.searchsorted(seg["seg_dim"], np.arange(d + 1)), "largest": np.abs(values).max(initial=0)}
 
 
-def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k: int, portions: int = 16) -> tuple[np.ndarray, np.ndarray, float]:
-    """(every node whose exact score may be among the k best, its score, share of the postings that were visited)."""
+def search_segments(v: np.ndarray, seg: dict[str, np.ndarray], q: np.ndarray, k: int, first: float = FIRST) -> tuple[np.ndarray, np.ndarray, float]:
+    """(every node whose exact score may be among the k best, its score, share of the postings that were visited).
+
+    ``first`` is the share before the first bound; any gives the same best nodes.
+    """
     n, d = v.shape
-    seg = seg if "cells" in seg else prepared(v, seg)
+    seg = seg if "nodes" in seg else prepared(v, seg)
     most = d * float(seg["largest"]) * float(np.abs(q.astype(float)).max(initial=0))
     if n and most >= 2.0**62:
         # Past 64 bits no bound can be drawn in machine numbers: all nodes, in Python's integers, held to a long's range.
         exact = v.astype(object) @ q.astype(object)
         return np.arange(n), np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact], object), 1.0
-    if n <= k or most >= 2.0**52:  # sums are kept as doubles, which are whole numbers up to here
+    if n <= k or most >= 2.0**51:  # bounds are sums of doubles of at most three times this, whole numbers up to 2^53
         return np.arange(n), v @ q, 1.0
-    gain = np.maximum(q[seg["seg_dim"]] * seg["seg_low"], q[seg["seg_dim"]] * seg["seg_high"])
-    lengths, values, first, asked = seg["lengths"], seg["values"], seg["first"], q.astype(float)
+    dims, lengths, begin, nodes, from_ = seg["seg_dim"], seg["lengths"], seg["seg_start"], seg["nodes"], seg["first"]
+    # All sums of a score are whole numbers, which short floats hold up to 2^24.
+    values = seg["short"] if most < 2.0**24 else seg["values"]
+    asked, each = q.astype(values.dtype), q[dims]
+    gain = np.maximum(each * seg["seg_low"], each * seg["seg_high"])
     order = np.argsort(-gain)
     total = np.cumsum(lengths[order])
-    # What a dimension can still give is its next segment's gain.  Its segments lie by falling values, so by falling gains, or by rising
-    # ones where the query is negative.
-    gone = np.zeros(d, np.int64)
-    # Sums of what is left are whole numbers, which short floats hold up to 2^24.
-    acc, unmet = np.zeros(n), np.ones((n, d), np.float32 if d * float(np.abs(gain).max()) < 2.0**24 else np.float64)
-    flat = unmet.reshape(-1)
-    at, alive, floor = 0, np.arange(n), -np.inf
-    for goal in np.linspace(FIRST, 1, portions + 1) * n * d:
-        to = min(len(order), int(np.searchsorted(total, goal)) + 1)
-        if to > at:
-            s = np.sort(order[at:to])
-            size = lengths[s]
-            index = np.repeat(seg["seg_start"][s] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            acc += np.bincount(seg["nodes"][index], weights=np.repeat(gain[s], size), minlength=n)
-            flat[seg["cells"][index]] = 0
-            gone += np.bincount(seg["seg_dim"][s], minlength=d)
-            at = to
-        following = np.where(q >= 0, first[:-1] + gone, first[1:] - 1 - gone)
-        left = np.where(gone < np.diff(first), gain[np.clip(following, 0, len(gain) - 1)], 0)
-        bound = acc + unmet @ left.astype(unmet.dtype)
-        probes = np.argpartition(-bound, min(PROBES * k, n) - 1)[: PROBES * k]
-        floor = max(floor, int(np.partition(values[probes] @ asked, -k)[-k]))
+    floor = -np.inf
+    while True:
+        at = min(len(order), int(np.searchsorted(total, first * n * d)) + 1)
+        # A dimension's segments lie by falling values, so by falling gains, or by rising ones where the query is negative: those visited
+        # are its first or its last ones, and what it can still give is the gain of the one next to them.
+        gone = np.bincount(dims[order[:at]], minlength=d)
+        low = np.where(q >= 0, from_[:-1], from_[1:] - gone)
+        high = low + gone
+        left = np.where(gone < np.diff(from_), gain[np.clip(np.where(q >= 0, high, low - 1), 0, len(gain) - 1)], 0)
+        # A node starts with what all dimensions can still give; where it is met, the segment's gain takes the place of that.
+        seen = np.repeat(low - np.cumsum(gone) + gone, gone) + np.arange(at)
+        met = np.concatenate([nodes[x:y] for x, y in zip(begin[low].tolist(), begin[high].tolist(), strict=True)])
+        bound = left.sum() + np.bincount(met, weights=np.repeat((gain[seen] - left[dims[seen]]).astype(float), lengths[seen]), minlength=n)
+        probes = np.argpartition(bound, max(0, n - PROBES * k))[max(0, n - PROBES * k) :]
+        floor = max(floor, int(np.partition(values.take(probes, axis=0) @ asked, -k)[-k]))
         alive = np.flatnonzero(bound >= floor)
         # The proof holds at any time; it ends the search once it leaves few nodes enough.
         if len(alive) <= max(k, MEMBERS * n) or at >= len(order):
             break
-    return alive, (values[alive] @ asked).astype(np.int64), float(total[at - 1]) / (n * d)
+        first += STEP
+    return alive, (values.take(alive, axis=0) @ asked).astype(np.int64), float(total[at - 1]) / (n * d)
 
 
 def best_nodes(nodes: np.ndarray, scores: np.ndarray, k: int) -> tuple[list, list]:
@@ -140,6 +144,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = seg = ids = None
+        first = FIRST
         for batch in batches:
             made = [x is not None for x in batch.column("nodes").to_pylist()]
             out: tuple[list, list, list] = ([], [], [])
@@ -148,11 +153,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     row = batch.slice(i, 1).to_pylist()[0]
                     v = np.frombuffer(row["vectors"], np.int64).reshape(row["nodes"], -1)
                     seg = {c: np.frombuffer(row[c], np.int32 if c == "postings" else np.int64) for c in ("postings", "seg_dim", "seg_start", "seg_low", "seg_high")}
-                    seg, ids = prepared(v, seg), row["ids"]
+                    seg, ids, first = prepared(v, seg), row["ids"], FIRST
                     continue
                 qid = batch.column("id")[i].as_py()
                 q = batch.column("vec")[i].values.to_numpy(zero_copy_only=False)
-                nodes, scores = best_nodes(*search_segments(v, seg, q, k + 1)[:2], k + 1)
+                nodes, scores, share = search_segments(v, seg, q, k + 1, first)
+                first = share - EASE if share < 1 else FIRST
+                nodes, scores = best_nodes(nodes, scores, k + 1)
                 hits = sorted((-s, x) for s, node in zip(scores, nodes, strict=True) for x in ids[node] if x != qid)[:k]
                 for column, values in zip(out, ([qid] * len(hits), [x for _, x in hits], [-s for s, _ in hits]), strict=True):
                     column.extend(values)
@@ -166,4 +173,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fiftieth vector's 5 highest scores over vectors of floor(256 x)."""
     raw = table(spark, sf_dir, "embeddings").filter(finite("embedding", True))
     vectors = raw.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vec"))
-    return search_index(build_index(vectors, shards_for(vectors, "vec", 1), 5), vectors.filter("id % 50 = 0"), 5)
+    return search_index(build_index(vectors, shards_for(vectors, "vec", 1, SHARD_ROWS, SHARD_BYTES), 5), vectors.filter("id % 50 = 0"), 5)

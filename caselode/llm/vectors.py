@@ -12,10 +12,10 @@ SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 4096, 64 << 20, 12
 SPREAD = 4
 
 
-def shards_for(vectors: DataFrame, vec: str, least: int = LEAST_SHARDS) -> int:
-    """How many shards hold ``vectors``, by rows and by bytes."""
+def shards_for(vectors: DataFrame, vec: str, least: int = LEAST_SHARDS, rows: int = SHARD_ROWS, size: int = SHARD_BYTES) -> int:
+    """How many shards hold ``vectors``, by rows and by bytes; where they may hold more than ``SHARD_ROWS``, still as many as keep tasks busy."""
     got = vectors.agg(F.count("*").alias("n"), F.sum(F.size(vec).cast("long")).alias("components")).first()
-    return max(least, -(-got.n // SHARD_ROWS), -(-8 * (got.components or 0) // SHARD_BYTES))
+    return max(least, -(-got.n // rows), min(LEAST_SHARDS, -(-got.n // SHARD_ROWS)), -(-8 * (got.components or 0) // size))
 
 
 def finite(v: str, zero_ok: bool) -> Column:

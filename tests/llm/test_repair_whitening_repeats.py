@@ -290,3 +290,30 @@ def test_impact_index_hands_on_best_nodes_only():
         assert scores == whole[nodes].tolist()
     past = np.array([1 << 62, -(1 << 63), (1 << 63) - 1], object)
     assert best_nodes(np.arange(3), past, 2) == ([0, 2], [1 << 62, (1 << 63) - 1])
+
+
+def test_impact_index_search_starts_where_the_last_one_ended(monkeypatch):
+    from caselode.llm import impact_index
+
+    r = np.random.default_rng(5)
+    v = np.floor(256 * r.normal(0, 0.125, (4000, 64))).astype(np.int64)
+    seg, first, bounds, partition = impact_index.prepared(v, impact_index.build_segments(v)), impact_index.FIRST, [], np.argpartition
+    for q in v[::200]:
+        whole = v @ q
+        for start in (0.05, 0.4, 1.0):
+            nodes, scores, _ = impact_index.search_segments(v, seg, q, 6, start)
+            assert (scores == whole[nodes]).all()
+            assert set(np.flatnonzero(whole >= np.sort(whole)[-6]).tolist()) <= set(nodes.tolist())
+    monkeypatch.setattr(np, "argpartition", lambda *a, **k: bounds.append(1) or partition(*a, **k))
+    for q in v[::40]:
+        first = impact_index.search_segments(v, seg, q, 6, first)[2] - impact_index.EASE
+    # A bound goes over all postings visited so far: most queries draw one.
+    assert len(bounds) < 1.5 * len(v[::40])
+
+
+def test_shards_of_the_impact_index_follow_the_rows(spark):
+    from caselode.llm.impact_index import SHARD_BYTES, SHARD_ROWS
+    from caselode.llm.vectors import shards_for
+
+    at = lambda n, d: shards_for(spark.range(n).select(F.array_repeat(F.lit(1), d).alias("vec")), "vec", 1, SHARD_ROWS, SHARD_BYTES)
+    assert [at(0, 1), at(5000, 1), at(50_000, 1), at(400_000, 1), at(20_000, 1024)] == [1, 2, 12, 25, 10]
