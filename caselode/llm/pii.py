@@ -431,11 +431,34 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _cleared(text: Column, more: Column, by) -> Column:
+    """``text``, where ``more``, with its valid base spans replaced until none is left.
+
+    What is replaced ends a run of digits early, so that a form that ran into it becomes valid.  Labels are in no base span and the
+    shortest one has four characters, which bounds the rounds.
+    """
+    state = "struct<text:string,more:boolean>"
+
+    def found(t: Column) -> Column:
+        valid = lambda kind: F.filter(_matches(kind, BASE[kind], t, MAYBE[kind], LEAST[kind]), lambda s: _valid(kind, s["body"]))
+        return _by_place(F.concat(*[valid(kind) for kind in BASE]))
+
+    def step(now: Column, _: Column) -> Column:
+        after = _let(found(now["text"]), lambda spans: F.struct(_replaced(now["text"], spans, by).alias("text"), (F.size(spans) > 0).alias("more")).cast(state))
+        return F.when(now["more"], after).otherwise(now)
+
+    rounds = lambda t: F.sequence(F.lit(0), F.when(t["more"], F.floor(F.length(t["text"]) / 4).cast("int")).otherwise(0))
+    return _let(F.struct(text.alias("text"), more.alias("more")).cast(state), lambda t: F.aggregate(rounds(t), t, step, lambda t: t["text"]))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans are replaced as one."""
+    """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans are replaced as one.
+
+    Base spans that are valid only once others are replaced are replaced too, so that none is left.
+    """
     label = lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))
     inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    new = find_spans(inner, "_text").withColumn("_text", _replaced(F.col("_text"), F.col("spans"), label))
+    new = find_spans(inner, "_text").withColumn("_text", _cleared(_replaced(F.col("_text"), F.col("spans"), label), F.size("spans") > 0, label))
     return new.select(*[F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 

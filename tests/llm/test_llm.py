@@ -168,6 +168,16 @@ def test_pii(spark):
     assert not any(base_of(t) for t in text.values() if t and "@" not in t and "." not in t)
 
 
+def test_redaction_leaves_no_base_span(spark):
+    card = "4111111111111111"
+    texts = [None, "no data here", "+1 (555) 010-9999 0001.2.3.255", f"{card}+1 555 010 9999 1.2.3.4.5.6.7.8", ".2.3.4.5 ".join([card] * 6)]
+    text = {r.doc_id: r.text for r in pii.redact(docs_of(spark, texts)).collect()}
+    assert [text[0], text[1], text[2]] == [None, "no data here", "[phone] [ip]"]
+    # Each card hides the address after it, and that hides the next card.
+    assert text[4].count("[card]") == 6
+    assert not any(base_of(t) for t in text.values() if t)
+
+
 def test_warc(spark):
     pages = [(1, "http://a", b"same"), (0, "http://b\r\nX: y", b"same"), (2, None, b""), (3, "http://c", b""), (4, "u", "é漢".encode() * 3000), (None, "n", b"same"), (5, "z", b"only"), (0, "http://b2", b"other"), (6, "k", None)]
     df = spark.createDataFrame(pages, "record_key bigint, target_uri string, payload binary").repartition(3)
