@@ -33,12 +33,12 @@ def attention_pool(rows: DataFrame, key: str, score: str, value: str) -> DataFra
     return vector_sums(rows, [key], score, value, softmax=True).select(key, F.col("v").alias("pooled"))
 
 
-def message_pass(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One bipartite layer: weighted sums of neighbours' vectors; ``edges`` (dst, src, w), ``nodes`` (src, v)."""
-    return neighbour_sums(edges, nodes, ["src"])
+def message_pass(edges: DataFrame, nodes: DataFrame, small: bool | None = None, digits: int | None = None) -> DataFrame:
+    """One bipartite layer: weighted sums of neighbours' vectors; ``edges`` (dst, src), ``nodes`` (src, v), and w in either."""
+    return neighbour_sums(edges, nodes, ["src"], small=small, digits=digits)
 
 
-def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
+def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, np.ndarray], digits: int | None = None) -> DataFrame:
     """A relational layer: mean over each relation's neighbours, its matrix, sum over relations, then ReLU.
 
     ``edges`` (dst, src, rel), ``nodes`` (src, v); ``weights`` has a square matrix per relation.
@@ -46,4 +46,4 @@ def graph_convolution(edges: DataFrame, nodes: DataFrame, weights: dict[int, np.
     # A matrix times a mean is the mean of what the matrix makes of the nodes, of which there are fewer than edges.
     kinds = nodes.withColumn("rel", F.explode(F.array(*[F.lit(r).cast(dict(edges.dtypes)["rel"]) for r in weights])))
     turned = linear(kinds.select("src", "rel", "v"), "v", weights, "rel")
-    return neighbour_sums(edges.withColumn("w", F.lit(1.0)), turned, ["src", "rel"], ["rel"], relu=True, small=near(nodes, "v"))
+    return neighbour_sums(edges.withColumn("w", F.lit(1.0)), turned, ["src", "rel"], ["rel"], relu=True, small=near(nodes, "v"), digits=digits)

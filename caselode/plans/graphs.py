@@ -72,10 +72,10 @@ def bipartite_adj(spark: SparkSession, sf_dir: str) -> DataFrame:
 TASK_ROWS = 500_000
 
 
-def _by_case(rows: DataFrame, lines: DataFrame) -> DataFrame:
+def by_case(rows: DataFrame, lines: DataFrame, case: str = "case_id") -> DataFrame:
     """``rows``, about as many as ``lines``, with those of a case together."""
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(usual, -(-lines.count() // TASK_ROWS)), "case_id")
+    return rows.repartition(max(usual, -(-lines.count() // TASK_ROWS)), case)
 
 
 @query(f"""WITH {RANKED}, e AS (SELECT DISTINCT case_id, drug_id, p_type AS col FROM rk JOIN part ON drug_id = p_partkey)
@@ -85,7 +85,7 @@ def adj_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A column's few items are held in its row: ranks aren't needed, and no window sorts what was made distinct.
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), F.col("p_type").alias("col"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("drug_id")).join(parts, "drug_id")
-    held = _by_case(lines, table(spark, sf_dir, "lineitem")).groupBy("case_id", "col").agg(F.collect_set("drug_id").alias("x"))
+    held = by_case(lines, table(spark, sf_dir, "lineitem")).groupBy("case_id", "col").agg(F.collect_set("drug_id").alias("x"))
     return held.select("case_id", F.explode("x").alias("drug_id"), "col", F.round(1.0 / F.size("x"), 6).alias("w"))
 
 
@@ -97,7 +97,7 @@ def entity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Labels first, then all of a case together: ranks, labels and caps need no other shuffle.  Items of one line and number rank alike.
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), "p_type", "p_brand", F.lit(True).alias("known"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("drug_id"), "l_linenumber")
-    items = _by_case(lines.join(parts, "drug_id", "left"), table(spark, sf_dir, "lineitem")).groupBy("case_id", "drug_id", "p_type", "p_brand", "known").agg(F.min("l_linenumber").alias("first_line"))
+    items = by_case(lines.join(parts, "drug_id", "left"), table(spark, sf_dir, "lineitem")).groupBy("case_id", "drug_id", "p_type", "p_brand", "known").agg(F.min("l_linenumber").alias("first_line"))
     ranked = items.withColumn("rank", F.dense_rank().over(Window.partitionBy("case_id").orderBy("first_line", "drug_id")))
     a = ranked.filter("known").select("case_id", "drug_id", "rank", F.posexplode(F.array("p_type", "p_brand")).alias("pos", "label"))
     first = a.groupBy("case_id", "label").agg(F.min(F.struct("rank", "pos")).alias("first"), F.collect_set("drug_id").alias("drugs"))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.operators import scorers as S
+from caselode.operators.vector_sums import near
+from caselode.plans.graphs import by_case
 from caselode.plans.registry import query
 from caselode.sources.tables import table
 
@@ -45,15 +47,27 @@ def setattn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("case_id", F.round(S.dot("pooled", F.array(*[F.lit(HEAD[i % len(HEAD)]) for i in range(dims)])), 6).alias("score"))
 
 
+#: Places that the layers' results are rounded to.
+DIGITS = 6
+
+
+def _met(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(dst, src) of all symptoms, brought together by case once, (src, v) of all vectors, and whether these can be broadcast; symptoms without a vector add nothing and stay behind then."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), F.col("embedding").alias("v"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dst"), F.col("l_suppkey").alias("src"))
+    small = near(vectors, "v")
+    kept = lines.join(F.broadcast(vectors.select("src")), "src", "left_semi") if small else lines
+    return by_case(kept, lines, "dst").distinct(), vectors, small
+
+
 @query(f"""WITH {WHOLE}, d AS (SELECT vec_id, count(*) AS n FROM s GROUP BY 1), m AS (SELECT case_id, i, sum(x / n) AS x FROM s JOIN d USING (vec_id) JOIN c USING (vec_id) GROUP BY 1, 2)
 SELECT case_id, i AS component, round(x, 6) AS value FROM m""")
 def bipartite_message_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One layer over column-normalised symptom edges, a row per component."""
-    symptoms, vectors, _ = _whole(spark, sf_dir)
-    degree = symptoms.groupBy("vec_id").agg((1 / F.count("*")).alias("w"))
-    edges = symptoms.join(degree, "vec_id").select(F.col("case_id").alias("dst"), F.col("vec_id").alias("src"), "w")
-    out = S.message_pass(edges, vectors.withColumnRenamed("vec_id", "src"))
-    return _by_component(out)
+    edges, vectors, small = _met(spark, sf_dir)
+    # A symptom's weight goes with its vector: edges are brought together by case once, and degrees are counted there.
+    degree = edges.groupBy("src").agg((1 / F.count("*")).alias("w"))
+    return _by_component(S.message_pass(edges, vectors.join(degree, "src"), small, DIGITS))
 
 
 @query(f"""WITH {WHOLE}, a AS (SELECT case_id, vec_id % 2 AS rel, i, avg(x) AS a FROM s JOIN c USING (vec_id) GROUP BY 1, 2, 3),
@@ -62,15 +76,16 @@ t AS (SELECT case_id, pair, sum(CASE rel WHEN 0 THEN a1 ELSE -a1 + 2 * a2 END) A
 SELECT case_id, pair * 2 - 1 AS component, round(greatest(v1, 0.0), 6) AS value FROM t UNION ALL SELECT case_id, pair * 2, round(greatest(v2, 0.0), 6) FROM t""")
 def relational_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A relational graph layer whose matrices repeat those of the two relations along the diagonal, a row per component."""
-    symptoms, vectors, dims = _whole(spark, sf_dir)
-    e = symptoms.select(F.col("case_id").alias("dst"), F.col("vec_id").alias("src"), (F.col("vec_id") % 2).alias("rel"))
+    edges, vectors, _ = _met(spark, sf_dir)
+    vectors = vectors.withColumn("v", F.col("v").cast("array<double>"))
+    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
     weights = {r: np.kron(np.eye(-(-dims // 2)), w)[:dims, :dims] for r, w in RELATIONS.items()}
-    return _by_component(S.graph_convolution(e, vectors.withColumnRenamed("vec_id", "src"), weights))
+    return _by_component(S.graph_convolution(edges.withColumn("rel", F.col("src") % 2), vectors, weights, digits=DIGITS))
 
 
 def _by_component(out: DataFrame) -> DataFrame:
     """(case_id, component, value) of (dst, v); components count from 1."""
-    return out.select(F.col("dst").alias("case_id"), F.posexplode("v").alias("i", "x")).select("case_id", (F.col("i") + 1).cast("long").alias("component"), F.round("x", 6).alias("value"))
+    return out.select(F.col("dst").alias("case_id"), F.posexplode("v").alias("i", "x")).select("case_id", (F.col("i") + 1).cast("long").alias("component"), F.col("x").alias("value"))
 
 
 @query()

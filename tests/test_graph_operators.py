@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselode.operators import admissions, attention, paths
+from caselode.operators import vector_sums as vector_sums_of
 from caselode.operators.vector_sums import neighbour_sums, vector_sums
 
 EDGES = "edge_id string, rel string, src string, dst string"
@@ -182,3 +183,26 @@ def test_cases_are_brought_together_in_tasks_of_bounded_rows(spark, monkeypatch)
             found = f(spark, f"{DATA}/sf0.001")
             assert found.rdd.getNumPartitions() >= 10
             assert sorted(map(tuple, found.collect())) == want
+
+
+def test_sums_are_rounded_as_sql_rounds():
+    got = vector_sums_of.rounded(np.array([0.125, -0.125, 2.5, -2.5, 0.37499999999999994, -0.004, np.inf, 1e300]), 2)
+    assert got.tolist() == [0.13, -0.13, 2.5, -2.5, 0.37, 0.0, np.inf, 1e300]
+    assert not np.signbit(got[5])
+
+
+def test_layers_bring_edges_together_once(spark, monkeypatch):
+    """Lines without a vector stay behind, the others are dealt by case once, in tasks of bounded rows, and results stay the same."""
+    from caselode.plans import graphs, scoring
+    from tests.conftest import DATA
+
+    for f in (scoring.bipartite_message_pass, scoring.relational_convolution):
+        want = sorted(map(tuple, f(spark, f"{DATA}/sf0.001").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(graphs, "TASK_ROWS", 500)
+            found = f(spark, f"{DATA}/sf0.001")
+            assert found.rdd.getNumPartitions() >= 10
+            assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan[plan.index("RepartitionByExpression") :].splitlines()
+        assert "LeftSemi" in "".join(lines[1:3])
