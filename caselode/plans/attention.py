@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.operators import attention as A
+from caselode.operators.vector_sums import near_of_used
+from caselode.plans.graphs import by_case
 from caselode.plans.registry import query
 from caselode.sources.tables import table
 
@@ -27,15 +29,22 @@ def _sql(v: str, taps: dict[int, float]) -> str:
     return f"list_transform(generate_series(1, len({v})), lambda i: {' + '.join(f'({x}) * {v}[(i - 1 + {k}) % len({v}) + 1]' for k, x in taps.items())} + ({BIAS}) * (i % 3 - 1))"
 
 
-def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[tuple, int]:
-    """Each order's edges, vectors, query and caps; an edge's weight is how many lines it has; vectors go by the keys' numbers."""
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", F.expr("cast(substring(p_brand, 7) as bigint)").alias("entity"))
-    edges = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("evidence"), "entity").agg(F.count("*").alias("weight"), F.min("l_linenumber").alias("place"))
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    vectors = rows.withColumn("kind", F.explode(F.array(*map(F.lit, A.KINDS))))
+def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[tuple, bool, int]:
+    """Each order's edges, vectors, query and caps, and whether the vectors can be broadcast; an edge's weight is how many lines it has; vectors go by the keys' numbers.
+
+    Ends without a vector stay behind before lines are shuffled; lines meet their brands, are brought together by order once, and edges are counted there."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_partkey", F.col("l_suppkey").alias("evidence"), "l_linenumber")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr("cast(substring(p_brand, 7) as bigint)").alias("entity"))
     owner = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("id"))
-    queries = table(spark, sf_dir, "orders").join(owner, "o_custkey").select(F.col("o_orderkey").alias("case_id"), "id")
-    return (edges, vectors, queries, MAX_ENTITIES, MAX_EVIDENCES), rows.agg(F.max(F.size("v"))).first()[0] or 0
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    ids = lines.select(F.col("evidence").alias("id")).union(part.select("entity")).union(owner.select("id"))
+    vectors, small = near_of_used(rows, ids)
+    known = F.broadcast(vectors.select("id")) if small else vectors.select("id")
+    met = lambda df, end: df.join(known.withColumnRenamed("id", end), end, "left_semi")
+    whole = by_case(met(lines, "evidence").join(met(part, "entity"), "l_partkey").select("case_id", "evidence", "entity", "l_linenumber"), lines)
+    edges = whole.groupBy("case_id", "evidence", "entity").agg(F.count("*").alias("weight"), F.min("l_linenumber").alias("place"))
+    queries = table(spark, sf_dir, "orders").join(met(owner, "id"), "o_custkey").select(F.col("o_orderkey").alias("case_id"), "id")
+    return (edges, vectors, queries, MAX_ENTITIES, MAX_EVIDENCES), small, rows.agg(F.max(F.size("v"))).first()[0] or 0
 
 
 GRAPHS = """vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qu AS (SELECT o_orderkey AS case_id, v AS q FROM orders JOIN customer ON c_custkey = o_custkey JOIN vec ON vec_id = c_nationkey),
@@ -74,15 +83,15 @@ def query_sql(layers: int) -> str:
 @query(pair_sql(2))
 def pair_attention_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers of attention by both ends, then each entity's answer."""
-    graphs, d = order_graphs(spark, sf_dir)
+    graphs, small, d = order_graphs(spark, sf_dir)
     model = A.PairAttention([(banded(MIX, d), banded(SCORE, d))] * 2, banded(ANSWER, d))
-    return A.case_logits(*graphs, model).select("case_id", F.col("node").alias("entity"), F.round("logit", 5).alias("logit"))
+    return A.case_logits(*graphs, model, small).select("case_id", F.col("node").alias("entity"), F.round("logit", 5).alias("logit"))
 
 
 @query(query_sql(3))
 def query_attention_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layers of attention by the case's vector, then bilinear scores of entities and evidences."""
-    graphs, d = order_graphs(spark, sf_dir)
+    graphs, small, d = order_graphs(spark, sf_dir)
     layer = (banded(SCORE, d), banded(MIX, d), banded(ANSWER, d), banded(BACK, d))
     model = A.QueryAttention([layer] * 3, (banded(ANSWER, d).w, 0.1), (banded(BACK, d).w, -0.2))
-    return A.case_logits(*graphs, model).select("case_id", "kind", "node", F.round("logit", 5).alias("logit"))
+    return A.case_logits(*graphs, model, small).select("case_id", "kind", "node", F.round("logit", 5).alias("logit"))

@@ -206,3 +206,37 @@ def test_layers_bring_edges_together_once(spark, monkeypatch):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         lines = plan[plan.index("RepartitionByExpression") :].splitlines()
         assert "LeftSemi" in "".join(lines[1:3])
+
+
+def test_vectors_of_all_kinds_are_given_once(spark):
+    """Vectors without kinds give the logits of the same vectors listed for each kind, broadcast or joined by shuffles."""
+    r = np.random.default_rng(5)
+    e = spark.createDataFrame([(c, ev, en, 1 + (ev + en) % 3, ev) for c in range(8) for ev in range(4) for en in range(3) if (c + ev * en) % 3], "case_id long, evidence long, entity long, weight long, place long")
+    once = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(5)], "id long, v array<float>")
+    thrice = once.withColumn("kind", F.explode(F.array(*map(F.lit, attention.KINDS))))
+    queries = spark.createDataFrame([(c, c % 6) for c in range(8)], "case_id long, id long")
+    make = lambda: attention.Linear(r.normal(size=(4, 4)), r.normal(size=4))
+    model = attention.PairAttention([(make(), make())], make())
+    got = [{(x.case_id, x.node): x.logit for x in attention.case_logits(e, v, queries, 100, 50, model, small).collect()} for v in (once, thrice) for small in (True, False)]
+    assert len(got[0]) > 10
+    assert all(x == pytest.approx(got[0]) for x in got)
+
+
+@pytest.mark.parametrize("name", ["query_attention_logits"])
+def test_more_vectors_than_can_be_broadcast(spark, monkeypatch, name):
+    """Vectors count once and as floats; beyond the bound those in use are tried, and only then are vectors shuffled. Results stay the same."""
+    from caselode.plans import attention as plans
+    from tests.conftest import DATA
+
+    whole, rows = f"{DATA}/sf0.001", lambda df: sorted(map(tuple, df.collect()))
+    want = rows(getattr(plans, name)(spark, whole))
+    for bound, small, held in ((130_000, True, 500), (60_000, True, None), (0, False, None)):
+        with monkeypatch.context() as m:
+            m.setattr(vector_sums_of, "NEAR", bound)
+            (edges, vectors, *_), found, _ = plans.order_graphs(spark, whole)
+            assert found is small
+            assert vectors.count() == held if held else vectors.count() < 300
+            assert rows(getattr(plans, name)(spark, whole)) == want
+        plan = edges._jdf.queryExecution().optimizedPlan().toString()
+        # Lines meet vectors' ids and brands before they are shuffled, and are not shuffled again to be counted.
+        assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("LeftSemi")
