@@ -222,7 +222,7 @@ def test_vectors_of_all_kinds_are_given_once(spark):
     assert all(x == pytest.approx(got[0]) for x in got)
 
 
-@pytest.mark.parametrize("name", ["query_attention_logits"])
+@pytest.mark.parametrize("name", ["query_attention_logits", "pair_attention_logits"])
 def test_more_vectors_than_can_be_broadcast(spark, monkeypatch, name):
     """Vectors count once and as floats; beyond the bound those in use are tried, and only then are vectors shuffled. Results stay the same."""
     from caselode.plans import attention as plans
